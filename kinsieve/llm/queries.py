@@ -51,6 +51,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similarity_join
+
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -61,7 +67,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_bpe_codec, op4_license_scan, op5_toxicity, op6_packing, op7_pii, op10_nearest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_bpe_codec, op4_license_scan, op5_toxicity, op6_packing, op7_pii, op8_jaccard_join, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
