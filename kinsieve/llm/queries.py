@@ -57,6 +57,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -67,7 +73,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_bpe_codec, op4_license_scan, op5_toxicity, op6_packing, op7_pii, op8_jaccard_join, op10_nearest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_bpe_codec, op4_license_scan, op5_toxicity, op6_packing, op7_pii, op8_jaccard_join, op9_substring_dedup, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
