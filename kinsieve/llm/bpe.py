@@ -24,9 +24,11 @@ BLANK = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[^{BLANK}]+")
 #: Below U+0250, composed form is the identity, and letters can be told without tables; U+0130 changes its length in lower case.
 PLAIN = re.compile("[\x00-įı-ɏ]*")
-CACHED_CHUNKS = 200_000
-CACHED_WORDS = 150_000
-CACHED_PAIRS = 600_000
+#: Marks that end a word and, alone behind it, are a word of their own.
+MARKS = frozenset(".,;:!?")
+CACHED_CHUNKS = 400_000
+CACHED_WORDS = 300_000
+CACHED_PAIRS = 800_000
 END = "\x00"  # behind a word's last symbol; byte-level spelling has no such character
 
 
@@ -82,7 +84,7 @@ class WordBpe:
         auto.make_automaton()
         self.automaton = auto
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
 
@@ -111,7 +113,7 @@ class WordBpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE makes just these two tokens of their joined text."""
-        key = (left, right)
+        key = left << 32 | right
         if (known := self._pairs.get(key)) is None:
             known = [self.vocab.get(x) for x in self.merged(self.pieces[left] + self.pieces[right])] == [left, right]
             if len(self._pairs) >= CACHED_PAIRS:
@@ -125,7 +127,7 @@ class WordBpe:
         """For each prefix of the word's spelling: its last token (-1: none), that token's length, the count of tokens."""
         n = len(spelled)
         last, size, count = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        alone, compatible = self.alone, self.compatible
+        alone, compatible, pairs = self.alone, self.compatible, self._pairs
         done = -1
         for end, (token, length) in self.automaton.iter(spelled):
             if end == done:
@@ -133,7 +135,12 @@ class WordBpe:
             start = end + 1 - length
             if start:
                 before = last[start]
-                if before < 0 or not compatible(before, token):
+                if before < 0:
+                    continue
+                fits = pairs.get(before << 32 | token)
+                if fits is None:
+                    fits = compatible(before, token)
+                if not fits:
                     continue
             elif not alone(token):
                 continue
@@ -144,18 +151,23 @@ class WordBpe:
     def spell(self, word: str) -> str:
         return "".join(map(self.letters.__getitem__, word.encode()))
 
-    def spelled_ids(self, spelled: str) -> tuple[int, ...]:
+    def word_ids(self, spelled: str) -> tuple[int, ...]:
         """The ids of one word in byte-level spelling, by following the back-pointers."""
+        whole = spelled + END
+        last, size, _ = self.table(whole)
+        out, at = [], len(whole)
+        while at:
+            if last[at] < 0:
+                raise ValueError("the vocabulary doesn't cover this word")
+            out.append(last[at])
+            at -= size[at]
+        out.reverse()
+        return tuple(out)
+
+    def spelled_ids(self, spelled: str) -> tuple[int, ...]:
+        """The same, with what was found before kept."""
         if (known := self._words.get(spelled)) is None:
-            whole = spelled + END
-            last, size, _ = self.table(whole)
-            out, at = [], len(whole)
-            while at:
-                if last[at] < 0:
-                    raise ValueError("the vocabulary doesn't cover this word")
-                out.append(last[at])
-                at -= size[at]
-            known = tuple(reversed(out))
+            known = self.word_ids(spelled)
             if len(self._words) >= CACHED_WORDS:
                 self._words.clear()
             if len(spelled) <= 64:
@@ -164,6 +176,12 @@ class WordBpe:
 
     def words(self, chunk: str) -> list[str]:
         """The words, in byte-level spelling, that the tokenizer makes of a chunk without white space."""
+        body, tail = (chunk, ()) if chunk[-1] not in MARKS else (chunk[:-1], (chunk[-1],))
+        if body.isalpha():  # nearly all chunks: one word, perhaps a mark behind it
+            if body.isascii():
+                return [body.lower(), *tail]
+            if PLAIN.fullmatch(body):
+                return [self.spell(body.lower()), *tail]
         if PLAIN.fullmatch(chunk):
             return [self.spell(w) for w in self.split.findall(chunk.lower())]
         normal = self.library.normalizer.normalize_str(chunk)

@@ -17,25 +17,44 @@ from pyspark.sql import types as T
 from . import bpe
 from ._common import text_of
 
-#: vocabulary -> chunk -> (tokens, their ids with a blank before each, their texts likewise)
-_KEPT: dict[str, dict[str, tuple[int, str, str]]] = {}
+#: A word or chunk: its count of tokens, their ids with a blank before each, their texts likewise.
+Coded = tuple[int, str, str]
+#: vocabulary -> (chunks, words)
+_KEPT: dict[str, tuple[dict[str, Coded], dict[str, Coded]]] = {}
 
 
 def _coder(vocabulary: str):
     m = bpe.model(vocabulary)
-    kept = _KEPT.setdefault(vocabulary, {})
+    kept, known = _KEPT.setdefault(vocabulary, ({}, {}))
     chunks = bpe.CHUNK.findall
 
-    def of(chunk: str) -> tuple[int, str, str]:
-        ids = m.chunk_ids(chunk)
-        out = (len(ids), "".join(f" {i}" for i in ids), " " + m.decode(ids))
+    def of_ids(ids: tuple[int, ...]) -> Coded:
+        return len(ids), "".join([f" {i}" for i in ids]), " " + m.decode(ids)
+
+    def of_word(word: str) -> Coded:
+        out = of_ids(m.word_ids(word))
+        if len(known) >= bpe.CACHED_WORDS:
+            known.clear()
+        if len(word) <= 64:
+            known[word] = out
+        return out
+
+    def of(chunk: str) -> Coded:
+        if m.special_split and "<|" in chunk and m.special_split.search(chunk):
+            out = of_ids(m.chunk_ids(chunk))
+        else:
+            parts = [known.get(w) or of_word(w) for w in m.words(chunk)]
+            if len(parts) == 1:
+                out = parts[0]
+            else:
+                out = (sum([p[0] for p in parts]), "".join([p[1] for p in parts]), "".join([p[2] for p in parts]))
         if len(chunk) <= 64:
             if len(kept) >= bpe.CACHED_CHUNKS:
                 kept.clear()
             kept[chunk] = out
         return out
 
-    def code(text: str) -> tuple[int, str, str]:
+    def code(text: str) -> Coded:
         got = [kept.get(c) or of(c) for c in chunks(text)]
         if not got:
             return 0, "", ""
