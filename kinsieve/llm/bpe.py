@@ -32,7 +32,7 @@ CACHED_PAIRS = 800_000
 END = "\x00"  # behind a word's last symbol; byte-level spelling has no such character
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The spelling of each byte in byte-level vocabularies: printable ones stand for themselves, others follow from U+0100."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
@@ -67,7 +67,7 @@ class WordBpe:
         # the file's own pattern, for text of plain characters
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split["pattern"]["Regex"])
-        letters = _byte_letters()
+        letters = byte_letters()
         self.letters = letters
         self.bytes_of = {c: b for b, c in enumerate(letters)}
         self.spelled = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(0x250) if i > 0x20}

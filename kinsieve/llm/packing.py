@@ -16,8 +16,8 @@ pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import spilled, text_of
-from .bpe import BLANK
+from .bpe import byte_letters
 
 WINDOW = 1024
 #: Combinations of three lengths that are tried, the most plentiful first.
@@ -37,8 +37,6 @@ TRIPLES = 4000
 SWEEPS = 60
 #: Ids of full pieces' sequences start here; those of combinations start at 0.
 FULL_BASE = 1 << 61
-CACHED = 300_000
-CHUNK = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
 def default_vocabulary() -> str:
@@ -47,8 +45,29 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def rank_encoding(path: str):
+    """The tokenizer at ``path`` for the faster rank library, if it is plain byte-level BPE whose merges are in the order of their ids; else None. Both give the same ids."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+    if not plain or spec["normalizer"] or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "end_of_word_suffix", "continuing_subword_prefix", "fuse_unk")):
+        return None
+    vocab = model["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        return None
+    byte_of = {c: b for b, c in enumerate(byte_letters())}
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids. Splits at white space first, as the tokenizer's own pattern does, and keeps what the library made of each chunk."""
+    """Texts to little-endian 32-bit ids, as the tokenizers library has them."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,27 +75,16 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
+        self.fast = rank_encoding(path)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        as_bytes = lambda ids: np.array(ids, "<u4").tobytes()
         out = []
         for text in texts:
-            if any(s in text for s in self.special):  # white space beside them is split otherwise
-                out.append(as_bytes(self.library.encode(text, add_special_tokens=False).ids))
-                continue
-            chunks = CHUNK.findall(text)
-            try:
-                out.append(b"".join(map(self.kept.__getitem__, chunks)))
-            except KeyError:
-                new = sorted({c for c in chunks if c not in self.kept})
-                got = dict(zip(new, (as_bytes(e.ids) for e in self.library.encode_batch(new, add_special_tokens=False)), strict=True))
-                if len(self.kept) + len(got) > CACHED:
-                    self.kept.clear()
-                    out.append(as_bytes(self.library.encode(text, add_special_tokens=False).ids))
-                else:
-                    out.append(b"".join([self.kept[c] if c in self.kept else got[c] for c in chunks]))
-                self.kept.update((c, x) for c, x in got.items() if len(c) <= 64)
+            if self.fast is None or any(s in text for s in self.special):  # strings of special tokens are the library's business
+                ids = self.library.encode(text, add_special_tokens=False).ids
+            else:
+                ids = self.fast.encode_ordinary(text)
+            out.append(np.array(ids, "<u4").tobytes())
         return out
 
 
