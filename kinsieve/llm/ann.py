@@ -190,6 +190,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD)
         got = search_shard(np.stack(right["vector"].to_list()), [list(map(int, x)) for x in right["ids"]], np.stack(left["vector"].to_list()), left["vec_id"].astype("int64").tolist(), k)
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
 
-    found = spread.groupBy("dim", "shard").cogroup(parts.groupBy("dim", "shard")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
+    deal_out = lambda df: df.repartition(2 * shards, "dim", "shard")  # noqa: E731  a shard is little data but much work, so small ones must not be put together
+    found = deal_out(spread).groupBy("dim", "shard").cogroup(deal_out(parts).groupBy("dim", "shard")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -139,7 +139,8 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     every = fences(sketches, [])
     cols = [f"{m}_{e}" for m in METRICS for e in ("hi", "lo")]
     as_ = lambda df, p: df.select(*[c for c in df.columns if c.startswith("_q_")], *(F.col(c).alias(f"{p}{c}") for c in ("rows", *cols)))
-    joined = as_(own, "o_").join(as_(lang, "l_"), "_q_lang").crossJoin(F.broadcast(as_(every, "e_")))  # the last is one row
+    one = F.lit(1).alias("_q_one")
+    joined = as_(own, "o_").select("*", one).join(as_(lang, "l_"), "_q_lang").join(F.broadcast(as_(every, "e_").select("*", one)), "_q_one")  # the last is one row
     pick = lambda c: F.when(F.col("o_rows") >= MIN_GROUP, F.col(f"o_{c}")).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
     return joined.select("_q_lang", "_q_source", *(pick(c).alias(c) for c in cols))
 
