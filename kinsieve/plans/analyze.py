@@ -10,7 +10,7 @@ from ..operators.normalize import MARKER, forms_and_bag, normalize_files
 from ..sources.files import local_files
 from .compare import compare, findings
 from .report import Report, build_report
-from .session import materialized
+from .session import materialized, ship
 
 
 def session() -> SparkSession:
@@ -34,6 +34,7 @@ def analyze_files(files: DataFrame, lang: str, threshold: float, min_nodes: int,
 
 def analyze(spark: SparkSession, roots: list[str], config: Config, lang: str) -> Report:
     """The report of local source trees. Files that can't be read or parsed are warnings."""
+    ship(spark)
     walk = config.walk
     files = local_files(spark, roots, walk.extensions, walk.exclude, walk.max_file_bytes)
     files = materialized(files)
