@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinsieve.llm import jaccard, packing, pii, quality, substring
 from kinsieve.llm._common import spilled, table
+from kinsieve.plans.session import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
+    ship(spark)
     return quality.keep_good(docs)
 
 
