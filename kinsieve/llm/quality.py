@@ -38,7 +38,7 @@ MIN_GROUP = 100
 FENCE = 3
 #: metric -> (least interquartile range that counts, whether low values are outliers too)
 METRICS = {
-    "symbol_ppm": (70_000, False),
+    "symbol_ppm": (20_000, False),
     "dup_line_ppm": (150_000, False),
     "repeat_ppm": (100_000, False),
     "word_milli": (1_500, True),
@@ -97,7 +97,7 @@ def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(x, T.LongType()) for x in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             rows = [features(x) for x in b.column(b.num_columns - 1).to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], names=[*b.schema.names[:-1], *names])
