@@ -26,7 +26,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     try:
         return np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
     except KeyError:
-        if len(_WORDS) > 300_000:
+        if len(_WORDS) > 120_000:
             _WORDS.clear()
         for w in words:
             if w not in _WORDS:
@@ -41,7 +41,7 @@ def sequence(text: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     w = word_hashes(words)
     n = min(N, len(w))
-    h = np.zeros(len(w) - n + 1, np.uint64)
+    h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
-        h = mixed(h * _P + w[k : len(w) - n + 1 + k] + np.uint64(n))
-    return h
+        h = h * _P + w[k : len(w) - n + 1 + k]
+    return mixed(h)
