@@ -17,6 +17,7 @@ ORDER = ["left_size", "left_id", "tie_rank", "right_size", "right_id"]
 
 def with_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``edges`` with the component (its least form id)."""
+    edges = keep(edges)
     roots = connected_components(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")), keep)
     return edges.join(roots.select(F.col("node").alias("left_id"), F.col("root").alias("component")), "left_id")
 

@@ -1,11 +1,13 @@
-"""Near misses: a prefix-filtered multiset-Jaccard self-join."""
+"""Near misses: a multiset-Jaccard self-join, filtered by prefixes, sizes and what prefixes share."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bags import prefix_keys
+from .bags import SLACK, prefix_keys, unsigned_order
 
 
 def jaccard_maps(left: Column, right: Column) -> Column:
@@ -23,16 +25,27 @@ def within_window(small: Column, large: Column, threshold: float) -> Column:
 
 
 def candidates(remaining: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """(left_id, left_size, right_id, right_size, tie_rank) of pairs of one kind that share a prefix key; left is the smaller by (size, id).
+    """(left_id, left_size, right_id, right_size, tie_rank) of pairs of one kind that share a prefix key and may reach the threshold; left is the smaller by (size, id).
 
-    tie_rank is the place, in the left prefix, of the first shared key.
+    tie_rank is the place, in the left prefix, of the first shared key. What two prefixes share is
+    known when their pairs are grouped; keys that are shared but not in both prefixes lie behind
+    the end of the prefix that ends first, so its form's remaining mass bounds them. Pairs whose bound is
+    too small are dropped before any bag is met.
     """
-    keys = prefix_keys(bag, threshold).drop("bag_size").join(remaining, "form_id")
-    side = lambda p: keys.select(*(F.col(c).alias(f"{p}_{c}") for c in ("form_id", "fp", "kind", "bag_size", "position")))
+    order = unsigned_order(F.col("fp"), dict(bag.dtypes)["fp"])
+    own = Window.partitionBy("form_id")
+    keys = prefix_keys(bag, threshold).withColumns({"rest": F.col("bag_size") - F.sum("cnt").over(own), "end": F.max(F.struct("df", order.alias("o"))).over(own)}).drop("bag_size", "df").join(remaining, "form_id")
+    side = lambda p: keys.select(*(F.col(c).alias(f"{p}_{c}") for c in ("form_id", "fp", "kind", "bag_size", "position", "cnt", "rest", "end")))
     l_size, r_size = F.col("l_bag_size"), F.col("r_bag_size")
     earlier = (l_size < r_size) | ((l_size == r_size) & (F.col("l_form_id") < F.col("r_form_id")))
     pairs = side("l").join(side("r"), (F.col("l_fp") == F.col("r_fp")) & (F.col("l_kind") == F.col("r_kind")) & earlier & within_window(l_size, r_size, threshold))
-    return pairs.groupBy(F.col("l_form_id").alias("left_id"), l_size.alias("left_size"), F.col("r_form_id").alias("right_id"), r_size.alias("right_size")).agg(F.min("l_position").alias("tie_rank"))
+    behind = F.when(F.col("l_end") <= F.col("r_end"), F.col("l_rest")).otherwise(F.col("r_rest"))
+    found = pairs.groupBy(F.col("l_form_id").alias("left_id"), l_size.alias("left_size"), F.col("r_form_id").alias("right_id"), r_size.alias("right_size")).agg(
+        F.min("l_position").alias("tie_rank"), F.sum(F.least("l_cnt", "r_cnt")).alias("shared"), F.max(behind).alias("behind")
+    )
+    t = max(float(threshold), 0.0)
+    needed = (F.col("left_size") + F.col("right_size")) * F.lit(t / (1 + t)) - SLACK
+    return found.where(F.col("shared") + F.col("behind") >= needed).drop("shared", "behind")
 
 
 def scored(pairs: DataFrame, bag: DataFrame) -> DataFrame:
@@ -42,8 +55,11 @@ def scored(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     return both.withColumn("score", jaccard_maps(F.col("lm"), F.col("rm"))).drop("lm", "rm")
 
 
-def near_miss_edges(remaining: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with threshold <= score < 1. ``remaining`` has form_id, kind and bag_size; other forms' bags are left out."""
-    own = bag.join(remaining.select("form_id"), "form_id", "left_semi")
+def near_miss_edges(remaining: DataFrame, bag: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Pairs with threshold <= score < 1. ``remaining`` has form_id, kind and bag_size; other forms' bags are left out.
+
+    The bags that are left are met several times; ``keep`` may materialise them.
+    """
+    own = keep(bag.join(remaining.select("form_id"), "form_id", "left_semi"))
     found = scored(candidates(remaining, own, threshold), own)
     return found.where((F.col("score") >= float(threshold)) & (F.col("score") < 1.0)).select("left_id", "left_size", "right_id", "right_size", "tie_rank", "score")

@@ -35,7 +35,7 @@ def compare(forms: DataFrame, bag: DataFrame, threshold: float = DEFAULT_THRESHO
     validate_threshold(threshold)
     keys = materialized(form_keys(forms, bag))
     exact = exact_members(keys).withColumn("score", F.lit(1.0))
-    edges = near_miss_edges(unclaimed(keys), bag, threshold)
+    edges = near_miss_edges(materialized(unclaimed(keys)), bag, threshold, materialized)
     near = near_members(edges, materialized).select("finding_key", F.lit(TYPE_3).alias("clone_type"), "form_id", "score")
     members = exact.unionByName(near).join(forms.select(F.col("id").alias("form_id"), "path", "start_line", "end_line", "name"), "form_id")
     order = Window.partitionBy("finding_key").orderBy(F.split("path", "/"), "start_line", "name", "form_id")

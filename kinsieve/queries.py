@@ -222,7 +222,7 @@ def unclaimed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_of(forms: DataFrame, bag: DataFrame, t: float) -> DataFrame:
-    return near.near_miss_edges(exact.unclaimed(materialized(exact.form_keys(forms, bag))), bag, t)
+    return near.near_miss_edges(materialized(exact.unclaimed(materialized(exact.form_keys(forms, bag)))), bag, t, materialized)
 
 
 def shown(edges: DataFrame) -> DataFrame:
