@@ -195,7 +195,8 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = keep(rows.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket", "least")
-    stars = entries.join(buckets, "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    # a merged join on purpose: both sides grow with the data, so the plan is the same at every size
+    stars = entries.join(buckets.hint("merge"), "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = keep(connected_components(stars, keep))
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = keep(groups.join(sizes, "root").join(nodes.select("node", "key", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))

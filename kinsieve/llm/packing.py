@@ -70,12 +70,21 @@ class Encoder:
     """Texts to little-endian 32-bit ids, as the tokenizers library has them."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.fast = rank_encoding(path)
+        self._library = None
+
+    @property
+    def library(self):
+        """Loaded where it is needed only: it is large."""
+        if self._library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -107,7 +116,7 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = N
         encode = encoder(vocabulary)
         part = TaskContext.get().partitionId()
         full, seen = 0, [0] * window
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             doc, rows = [], []
             for k, ids in enumerate(encode(b.column(1).to_pylist())):
                 ids += b"\0\0\0\0"

@@ -146,11 +146,19 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` of ``docs`` (null languages and sources as they are), the features as _q_<name>, base_failed and kept."""
+    """``keep`` of ``docs`` (null languages and sources as they are), the features as _q_<name>, base_failed and kept.
+
+    Features are written, texts are not: where texts are kept, their features are computed a second time,
+    which costs less than a copy of all texts on disk.
+    """
     keep = docs.columns if keep is None else keep
     grouped = docs.withColumns({"_q_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_q_source": F.coalesce(F.col("source").cast("string"), F.lit(""))})
-    feats = spilled(with_features(grouped, [*keep, "_q_lang", "_q_source"]), "quality")
-    limits = spilled(thresholds(sketch(feats)), "quality-fences")
+    if "text" in keep:
+        limits = spilled(thresholds(spilled(sketch(with_features(grouped, ["_q_lang", "_q_source"])), "quality-sketches")), "quality-fences")
+        feats = with_features(grouped, [*keep, "_q_lang", "_q_source"])
+    else:
+        feats = spilled(with_features(grouped, [*keep, "_q_lang", "_q_source"]), "quality")
+        limits = spilled(thresholds(sketch(feats)), "quality-fences")
     base = (F.col("_q_n_words") < MIN_WORDS) | (F.col("_q_n_repeat_words") * 100 > F.col("_q_n_words") * MAX_REPEAT_PERCENT)
     inside = F.lit(True)
     for m in METRICS:

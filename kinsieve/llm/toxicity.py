@@ -71,7 +71,7 @@ class Features:
         if (got := self.kept.get(w)) is None:
             lex = self.lexicon
             got = (lex.get(w, 0.0), max([lex.get(w[:k] + "*", 0.0) for k in PREFIXES if len(w) > k], default=0.0))
-            if len(self.kept) >= 200_000:
+            if len(self.kept) >= 100_000:
                 self.kept.clear()
             self.kept[w] = got
         return got
@@ -236,7 +236,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(lexicon)
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([make(x) for x in b.column(1).to_pylist()], pa.list_(pa.float32()))], names=schema.names)
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
