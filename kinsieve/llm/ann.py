@@ -33,6 +33,8 @@ WIDTH = 4
 ALPHA = 1.2
 BATCH = 256
 SEED = 20
+#: Distinct vectors that a task holds while it looks for copies.
+HELD = 20_000
 
 
 def distances(q: np.ndarray, x: np.ndarray, x2: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -161,14 +163,27 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """(vector, ids): each distinct vector with its k + 1 smallest ids. Partitions are thinned before the shuffle, so copies cost little."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[float, ...], list[int]] = {}
+        kept: dict[bytes, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            vectors = [np.frombuffer(v, np.float64) for v in kept]
+            ids = [sorted(set(g))[: k + 1] for g in kept.values()]
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(vectors, pa.list_(pa.float64())), pa.array(ids, pa.list_(pa.int64()))], names=["vector", "ids"])
+
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = kept.setdefault(tuple(v), [])
+            own, values, ends = b.column(0).to_pylist(), b.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            at = 0
+            for i, end in zip(own, ends, strict=True):
+                got = kept.setdefault(values[at:end].tobytes(), [])
+                at = end
                 got.append(i)
                 if len(got) > 64:
                     got[:] = sorted(set(got))[: k + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.list_(pa.float64())), pa.array([sorted(set(g))[: k + 1] for g in kept.values()], pa.list_(pa.int64()))], names=["vector", "ids"])
+            if len(kept) > HELD:
+                yield out()
+        if kept:
+            yield out()
 
     part = rows.select("vec_id", "vector").mapInArrow(thin, "vector array<double>, ids array<bigint>")
     return part.groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
