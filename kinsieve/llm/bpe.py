@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import ahocorasick
 
@@ -26,8 +27,8 @@ CHUNK = re.compile(f"[^{BLANK}]+")
 PLAIN = re.compile("[\x00-įı-ɏ]*")
 #: Marks that end a word and, alone behind it, are a word of their own.
 MARKS = frozenset(".,;:!?")
-CACHED_CHUNKS = 400_000
-CACHED_WORDS = 300_000
+CACHED_CHUNKS = 350_000
+CACHED_WORDS = 250_000
 CACHED_PAIRS = 800_000
 END = "\x00"  # behind a word's last symbol; byte-level spelling has no such character
 
@@ -45,6 +46,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent(dict):
+    """What ``make`` made of recent keys: up to ``most`` of them, and as many of the generation before. Keys of more than 64 characters are made anew."""
+
+    def __init__(self, make: Callable[[str], object], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> object:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
 class WordBpe:
     """A tokenizer file whose model is BPE with an end-of-word suffix."""
 
@@ -86,7 +106,7 @@ class WordBpe:
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._words = Recent(self.word_ids, CACHED_WORDS)
 
     # -- the merges, for single tokens and pairs only
 
@@ -166,13 +186,7 @@ class WordBpe:
 
     def spelled_ids(self, spelled: str) -> tuple[int, ...]:
         """The same, with what was found before kept."""
-        if (known := self._words.get(spelled)) is None:
-            known = self.word_ids(spelled)
-            if len(self._words) >= CACHED_WORDS:
-                self._words.clear()
-            if len(spelled) <= 64:
-                self._words[spelled] = known
-        return known
+        return self._words[spelled]
 
     def words(self, chunk: str) -> list[str]:
         """The words, in byte-level spelling, that the tokenizer makes of a chunk without white space."""

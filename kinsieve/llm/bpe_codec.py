@@ -19,43 +19,32 @@ from ._common import text_of
 
 #: A word or chunk: its count of tokens, their ids with a blank before each, their texts likewise.
 Coded = tuple[int, str, str]
-#: vocabulary -> (chunks, words)
-_KEPT: dict[str, tuple[dict[str, Coded], dict[str, Coded]]] = {}
+#: vocabulary -> chunk -> Coded
+_KEPT: dict[str, bpe.Recent] = {}
 
 
 def _coder(vocabulary: str):
     m = bpe.model(vocabulary)
-    kept, known = _KEPT.setdefault(vocabulary, ({}, {}))
-    chunks = bpe.CHUNK.findall
 
     def of_ids(ids: tuple[int, ...]) -> Coded:
-        return len(ids), "".join([f" {i}" for i in ids]), " " + m.decode(ids)
+        return len(ids), "".join([f" {i}" for i in ids]), " " + m.decode(ids) if ids else ""
 
-    def of_word(word: str) -> Coded:
-        out = of_ids(m.word_ids(word))
-        if len(known) >= bpe.CACHED_WORDS:
-            known.clear()
-        if len(word) <= 64:
-            known[word] = out
-        return out
+    words = bpe.Recent(lambda word: of_ids(m.word_ids(word)), bpe.CACHED_WORDS)
 
     def of(chunk: str) -> Coded:
         if m.special_split and "<|" in chunk and m.special_split.search(chunk):
-            out = of_ids(m.chunk_ids(chunk))
-        else:
-            parts = [known.get(w) or of_word(w) for w in m.words(chunk)]
-            if len(parts) == 1:
-                out = parts[0]
-            else:
-                out = (sum([p[0] for p in parts]), "".join([p[1] for p in parts]), "".join([p[2] for p in parts]))
-        if len(chunk) <= 64:
-            if len(kept) >= bpe.CACHED_CHUNKS:
-                kept.clear()
-            kept[chunk] = out
-        return out
+            return of_ids(m.chunk_ids(chunk))
+        parts = [words[w] for w in m.words(chunk)]
+        if len(parts) == 1:
+            return parts[0]
+        return sum([p[0] for p in parts]), "".join([p[1] for p in parts]), "".join([p[2] for p in parts])
+
+    if vocabulary not in _KEPT:
+        _KEPT[vocabulary] = bpe.Recent(of, bpe.CACHED_CHUNKS)
+    coded, chunks = _KEPT[vocabulary].__getitem__, bpe.CHUNK.findall
 
     def code(text: str) -> Coded:
-        got = [kept.get(c) or of(c) for c in chunks(text)]
+        got = list(map(coded, chunks(text)))
         if not got:
             return 0, "", ""
         n, ids, texts = zip(*got, strict=True)
@@ -71,7 +60,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bpe.model(vocabulary)
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.encode(x) for x in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=schema.names)
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
@@ -84,7 +73,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bpe.model(vocabulary)
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=schema.names)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
@@ -98,7 +87,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _coder(vocabulary)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             n, ids, texts = [], [], []
             for x in b.column(1).to_pylist():
                 k, i, t = code(x)

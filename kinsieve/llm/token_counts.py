@@ -49,30 +49,17 @@ def prefix_counts(text: str, vocabulary: str | None = None) -> PrefixCounts:
     return PrefixCounts(bpe.model(vocabulary or bpe.default_vocabulary()).prefix_counts(text))
 
 
+#: vocabulary -> chunk -> tokens
+_KEPT: dict[str, bpe.Recent] = {}
+
+
 def _counter(vocabulary: str):
     """text -> tokens; each chunk's table is filled once and its last entry kept."""
     m = bpe.model(vocabulary)
-    kept = _KEPT.setdefault(vocabulary, {})
-    chunks = bpe.CHUNK.findall
-
-    def total(text: str) -> int:
-        n = 0
-        for c in chunks(text):
-            try:
-                n += kept[c]
-            except KeyError:
-                k = len(m.chunk_ids(c))
-                if len(c) <= 64:
-                    if len(kept) >= bpe.CACHED_CHUNKS:
-                        kept.clear()
-                    kept[c] = k
-                n += k
-        return n
-
-    return total
-
-
-_KEPT: dict[str, dict[str, int]] = {}
+    if vocabulary not in _KEPT:
+        _KEPT[vocabulary] = bpe.Recent(lambda chunk: len(m.chunk_ids(chunk)), bpe.CACHED_CHUNKS)
+    count, chunks = _KEPT[vocabulary].__getitem__, bpe.CHUNK.findall
+    return lambda text: sum(map(count, chunks(text)))
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None) -> DataFrame:
@@ -82,7 +69,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = _counter(vocabulary)
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([total(x) for x in b.column(1).to_pylist()], pa.int64())], names=schema.names)
 
     counted = docs.select("doc_id", text_of().alias("text"), F.octet_length(text_of()).cast("bigint").alias("n_bytes")).mapInArrow(run, schema)
@@ -96,7 +83,7 @@ def with_prefix_counts(docs: DataFrame, step: int = 1, vocabulary: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bpe.model(vocabulary)
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.prefix_counts(x)[::step] for x in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=schema.names)
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)

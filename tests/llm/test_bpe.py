@@ -74,4 +74,4 @@ def test_caches_are_bounded(monkeypatch):
     m = bpe.WordBpe(PATH)
     text = "some words that overflow the very small caches some words"
     assert m.encode(text) == m.library.encode(text, add_special_tokens=False).ids
-    assert len(m._words) <= 3 and len(m._pairs) <= 3
+    assert len(m._words) <= 3 and len(m._words.old) <= 3 and len(m._pairs) <= 3
