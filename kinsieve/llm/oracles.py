@@ -4,43 +4,47 @@ from __future__ import annotations
 
 from . import jaccard, licenses, quality, shingles
 
-_METRIC = {
-    "symbol_ppm": "n_symbols * 1000000 // greatest(word_chars, 1)", "dup_line_ppm": "n_dup_lines * 1000000 // greatest(n_lines, 1)",
-    "repeat_ppm": "n_repeat_words * 1000000 // greatest(n_words, 1)", "word_milli": "word_chars * 1000 // greatest(n_words, 1)",
-}
-
-
 def quality_sql() -> str:
     """Counts by brute force, then the sketches' quartiles and fences."""
-    w, m = quality.WINDOW, list(quality.METRICS)
-    inside = " AND ".join(f"f.{x} BETWEEN l.{x}_lo AND l.{x}_hi" for x in m)
+    w, m, k = quality.WINDOW, list(quality.METRICS), quality.MILLI
+    rate = lambda x, n, of: f"(({n} + {quality.SMOOTH[x][0]}) * 1000000 // ({of} + {quality.SMOOTH[x][1]}))"
+    metric = {"symbol_ppm": rate("symbol_ppm", "n_symbols", "word_chars"), "dup_line_ppm": rate("dup_line_ppm", "n_dup_lines", "n_lines"), "repeat_ppm": rate("repeat_ppm", "n_repeat_words", "n_words"), "word_milli": "word_chars * 1000 // greatest(n_words, 1)"}
+    shift = lambda v: f"greatest(length(bin({v})) - {quality.DIGITS}, 0)"
+    bucket = lambda v: f"({shift(v)} * {1 << quality.DIGITS - 1} + ({v} >> {shift(v)}))"
 
-    def fences(keys: str) -> str:
+    def level(keys: str) -> str:
         by = f"{keys}, " if keys else ""
-        cols = []
-        for x, (least, low) in quality.METRICS.items():
-            spread = f"greatest(q3 - q1, {least}) * {quality.FENCE}"
-            cols += [f"max(CASE WHEN metric = '{x}' THEN q3 + {spread} END) AS {x}_hi", f"max(CASE WHEN metric = '{x}' THEN {f'q1 - {spread}' if low else '0'} END) AS {x}_lo"]
-        return f"""SELECT {by}max(total) AS rows_, {', '.join(cols)} FROM (
-    SELECT {by}metric, any_value(total) AS total, min(CASE WHEN upto * 4 >= total THEN bucket END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q3 FROM (
-      SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS total FROM (SELECT {by}metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL) {f'GROUP BY {keys}' if keys else ''}"""
+        return f"""SELECT {by}metric, any_value(total) AS n_, min(CASE WHEN upto * 4 >= total THEN bucket END) * {k} AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) * {k} AS q3 FROM (
+    SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS total FROM (SELECT {by}metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
+
+    def drawn(own: str, above: str, keys: str) -> str:
+        mean = lambda q: f"((o.{q} * o.n_ + a.{q} * {quality.PRIOR}) // (o.n_ + {quality.PRIOR}))"
+        return f"SELECT o.* EXCLUDE (q1, q3), {mean('q1')} AS q1, {mean('q3')} AS q3, CASE WHEN o.q1 = o.q3 THEN a.spread ELSE {mean('q3')} - {mean('q1')} END AS spread FROM {own} o JOIN {above} a USING ({keys}metric)"
 
-    pick = ", ".join(f"CASE WHEN o.rows_ >= {quality.MIN_GROUP} THEN o.{c} WHEN g.rows_ >= {quality.MIN_GROUP} THEN g.{c} ELSE e.{c} END AS {c}" for x in m for c in (f"{x}_hi", f"{x}_lo"))
+    lines = "list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
+    fences, inside = [], []
+    for x, low in quality.METRICS.items():
+        for name, low_end in ((f"{x}_hi", False), (f"{x}_lo", True)):
+            if low_end and not low:
+                continue
+            value = f"q1 - {quality.FENCE} * spread" if low_end else f"q3 + {quality.FENCE} * spread"
+            fences.append(f"max(CASE WHEN metric = '{x}' AND spread > 0 THEN {value} END) AS {name}")
+            inside.append(f"coalesce({bucket(x)} * {k} {'>=' if low_end else '<='} {name}, true)")
+    failed = f"(n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words)"
     return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 wins AS (SELECT doc_id, i, array_to_string(words[i:i + {w - 1}], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - {w - 2})) AS i FROM t)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n >= 2),
 covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {w})) AS p FROM twice) GROUP BY ALL),
 base AS (SELECT t.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))::BIGINT AS n_lines,
-  (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
+  len({lines})::BIGINT AS n_lines, (len({lines}) - len(list_distinct({lines})))::BIGINT AS n_dup_lines,
   coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN covered c USING (doc_id)),
-feats AS (SELECT *, {', '.join(f'({_METRIC[x]})::BIGINT AS {x}' for x in m)} FROM base),
+feats AS (SELECT *, {', '.join(f'({metric[x]})::BIGINT AS {x}' for x in m)} FROM base),
 long AS ({' UNION ALL '.join(f"SELECT lang, source, '{x}' AS metric, {x} AS v FROM feats" for x in m)}),
-sketch AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket, count(*) AS n FROM long GROUP BY ALL),
-own AS ({fences('lang, source')}), lang_ AS ({fences('lang')}), every_ AS ({fences('')}),
-limits AS (SELECT o.lang, o.source, {pick} FROM own o JOIN lang_ g USING (lang), every_ e)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {', '.join(m)}, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND {inside} AS kept
+sketch AS (SELECT lang, source, metric, {bucket('v')} AS bucket, count(*) AS n FROM long GROUP BY ALL),
+every_ AS (SELECT *, q3 - q1 AS spread FROM ({level('')})), lang_own AS ({level('lang')}), own AS ({level('lang, source')}),
+lang_ AS ({drawn('lang_own', 'every_', '')}), group_ AS ({drawn('own', 'lang_', 'lang, ')}),
+limits AS (SELECT lang, source, {', '.join(fences)} FROM group_ GROUP BY ALL)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT {failed} AND {' AND '.join(inside)} AS kept, n_lines, {', '.join(m)}
 FROM feats f JOIN limits l USING (lang, source)"""
 
 

@@ -1,15 +1,22 @@
 """Quality rules with thresholds that follow the data.
 
 Every text gets four integer metrics. Per (language, source) and metric a mergeable
-quantile sketch is kept: counts by log-linear bucket (bucket width at most 1/64 of the
+quantile sketch is kept: counts by log-linear bucket (bucket width at most 1/128 of the
 value), so that sketches of partitions, sources or languages merge by adding counts,
 in any order, with the same result. Tukey fences read off the sketches replace fixed
 cutoffs; a joined filter applies them.
 
+Rates of rare things are smoothed by a few pseudo-counts. So they differ from text to text even where
+nearly all texts have none, and quartiles have a spread: that of the resolution at which texts of the
+group's lengths can show a rate. Fences lie in the buckets' own, logarithmic scale, FENCE times the spread
+outside the quartiles. Quartiles of a group are means, weighted by rows, of its own and of PRIOR rows of
+its language, whose are likewise of its own and of the whole table. Where a group's own quartiles coincide,
+as it is mostly copies of one text, the spread is that of the level above; a metric whose quartiles
+coincide at all levels judges nobody.
+
 Defined results for odd input: a null text has no words; a null language or source is
-the empty string; groups with fewer than ``MIN_GROUP`` rows borrow the fences of their
-language, and languages with fewer those of the whole table. Repeated rows count as
-often as they occur. Other columns of the input are ignored or passed through.
+the empty string. Repeated rows count as often as they occur. Other columns of the input are
+ignored or passed through.
 """
 
 from __future__ import annotations
@@ -32,18 +39,19 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Rows that a group's own sketch needs.
-MIN_GROUP = 100
+#: Rows of the level above that count towards a group's quartiles.
+PRIOR = 20
 #: Fences lie FENCE times the interquartile range outside the quartiles.
 FENCE = 3
-#: metric -> (least interquartile range that counts, whether low values are outliers too)
-METRICS = {
-    "symbol_ppm": (20_000, False),
-    "dup_line_ppm": (150_000, False),
-    "repeat_ppm": (100_000, False),
-    "word_milli": (1_500, True),
-}
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *METRICS)
+#: Digits of a bucket.
+DIGITS = 8
+#: Quartiles and fences are kept in thousandths of a bucket.
+MILLI = 1000
+#: metric -> whether low values are outliers too
+METRICS = {"symbol_ppm": False, "dup_line_ppm": False, "repeat_ppm": False, "word_milli": True}
+#: metric -> pseudo-counts: of the thing, and of what may be one
+SMOOTH = {"symbol_ppm": (1, 1000), "dup_line_ppm": (1, 10), "repeat_ppm": (8, 80)}
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", *METRICS)
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
@@ -82,10 +90,10 @@ def features(text: str) -> tuple[int, ...]:
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
     dup = len(lines) - len(set(lines))
     repeat = repeated_words(words)
+    rate = lambda m, k, of: (k + SMOOTH[m][0]) * 1_000_000 // (of + SMOOTH[m][1])
     return (
-        n, chars, symbols, dup, repeat,
-        symbols * 1_000_000 // max(chars, 1), dup * 1_000_000 // max(len(lines), 1),
-        repeat * 1_000_000 // max(n, 1), chars * 1000 // max(n, 1),
+        n, chars, symbols, dup, repeat, len(lines),
+        rate("symbol_ppm", symbols, chars), rate("dup_line_ppm", dup, len(lines)), rate("repeat_ppm", repeat, n), chars * 1000 // max(n, 1),
     )
 
 
@@ -106,9 +114,9 @@ def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def bucket(value: Column) -> Column:
-    """The lower end of the value's bucket: its top 7 binary digits."""
-    shift = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+    """The number of the value's bucket, which follows from its top DIGITS binary digits: linear below 2 ** DIGITS, then as many buckets for each doubling."""
+    shift = F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0))
+    return shift.cast("bigint") * (1 << DIGITS - 1) + F.call_function("shiftright", value, shift)
 
 
 def sketch(feats: DataFrame) -> DataFrame:
@@ -117,32 +125,34 @@ def sketch(feats: DataFrame) -> DataFrame:
     return feats.select("_q_lang", "_q_source", metric.alias("m")).groupBy("_q_lang", "_q_source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches merged to ``keys``: rows, and the lower and upper fence of each metric, one row a group."""
+def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches merged to ``keys``: rows and the quartiles' buckets (in thousandths) of each metric."""
     merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
-    run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bucket")))
-    q = run.groupBy(*keys, "metric").agg(F.max("all").alias("rows"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    out = [F.max("rows").alias("rows")]
-    for m, (least, low) in METRICS.items():
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * FENCE
-        of = lambda c, m=m: F.max(F.when(F.col("metric") == m, c))
-        out += [of(F.col("q3") + spread).alias(f"{m}_hi"), of(F.col("q1") - spread if low else F.lit(0).cast("bigint")).alias(f"{m}_lo")]
-    return q.groupBy(*keys).agg(*out)
+    run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("rows", F.sum("n").over(w))
+    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * k, F.col("bucket"))) * MILLI
+    return run.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+
+
+def shrunk(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+    """Quartiles drawn towards those of the level above as if it had PRIOR rows, and the spread that counts."""
+    both = own.join(above.select(*keys, "metric", *(F.col(c).alias(f"above_{c}") for c in ("q1", "q3", "spread"))), [*keys, "metric"])
+    mean = lambda c: F.expr(f"({c} * rows + above_{c} * {PRIOR}) div (rows + {PRIOR})").alias(c)
+    drawn = both.select(*(c for c in own.columns if c not in ("q1", "q3")), mean("q1"), mean("q3"), F.when(F.col("q1") == F.col("q3"), F.col("above_spread")).alias("_spread"))
+    return drawn.withColumn("spread", F.coalesce("_spread", F.col("q3") - F.col("q1"))).drop("_spread")
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """The fences that hold for each (lang, source), with the fallbacks for small groups."""
-    own = fences(sketches, ["_q_lang", "_q_source"])
-    lang = fences(sketches, ["_q_lang"])
-    every = fences(sketches, [])
-    cols = [f"{m}_{e}" for m in METRICS for e in ("hi", "lo")]
-    as_ = lambda df, p: df.select(*[c for c in df.columns if c.startswith("_q_")], *(F.col(c).alias(f"{p}{c}") for c in ("rows", *cols)))
-    one = F.lit(1).alias("_q_one")
-    joined = as_(own, "o_").select("*", one).join(as_(lang, "l_"), "_q_lang").join(F.broadcast(as_(every, "e_").select("*", one)), "_q_one")  # the last is one row
-    pick = lambda c: F.when(F.col("o_rows") >= MIN_GROUP, F.col(f"o_{c}")).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"e_{c}"))
-    return joined.select("_q_lang", "_q_source", *(pick(c).alias(c) for c in cols))
+    """The fences that hold for each (lang, source): _q_<metric>_lo and _hi."""
+    every = quartiles(sketches, []).withColumn("spread", F.col("q3") - F.col("q1"))
+    lang = shrunk(quartiles(sketches, ["_q_lang"]), F.broadcast(every), [])  # a row for each metric
+    own = shrunk(quartiles(sketches, ["_q_lang", "_q_source"]), lang, ["_q_lang"])
+    judging = F.col("spread") > 0
+    out = []
+    for m, low in METRICS.items():
+        of = lambda c, m=m: F.max(F.when((F.col("metric") == m) & judging, c))
+        out += [of(F.col("q3") + FENCE * F.col("spread")).alias(f"_q_{m}_hi"), (of(F.col("q1") - FENCE * F.col("spread")) if low else F.lit(None).cast("bigint")).alias(f"_q_{m}_lo")]
+    return own.groupBy("_q_lang", "_q_source").agg(*out)
 
 
 def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -162,14 +172,17 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     base = (F.col("_q_n_words") < MIN_WORDS) | (F.col("_q_n_repeat_words") * 100 > F.col("_q_n_words") * MAX_REPEAT_PERCENT)
     inside = F.lit(True)
     for m in METRICS:
-        inside = inside & F.col(f"_q_{m}").between(F.col(f"{m}_lo"), F.col(f"{m}_hi"))
-    rows = feats.join(limits, ["_q_lang", "_q_source"], "left").withColumns({"_q_failed": base, "_q_kept": ~base & F.coalesce(inside, F.lit(True))})
+        place = bucket(F.col(f"_q_{m}")) * MILLI
+        inside = inside & F.coalesce(place <= F.col(f"_q_{m}_hi"), F.lit(True)) & F.coalesce(place >= F.col(f"_q_{m}_lo"), F.lit(True))
+    rows = feats.join(limits, ["_q_lang", "_q_source"], "left").withColumns({"_q_failed": base, "_q_kept": ~base & inside})
     return rows.select(*(F.col(f"`{c}`") for c in keep), *(f"_q_{x}" for x in FEATURES), F.col("_q_failed"), F.col("_q_kept"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, the counts, base_failed, kept and the metrics."""
-    return judged(docs, ["doc_id"]).select("doc_id", *(F.col(f"_q_{x}").alias(x) for x in FEATURES), F.col("_q_failed").alias("base_failed"), F.col("_q_kept").alias("kept"))
+    """One row for each row of ``docs``: doc_id, the counts, base_failed, kept, the number of lines and the metrics."""
+    counts, more = FEATURES[:5], FEATURES[5:]
+    named = lambda names: [F.col(f"_q_{x}").alias(x) for x in names]
+    return judged(docs, ["doc_id"]).select("doc_id", *named(counts), F.col("_q_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), *named(more))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

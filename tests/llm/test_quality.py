@@ -60,12 +60,60 @@ def test_sketches_merge_in_any_order(spark):
     from pyspark.sql import functions as F
 
     rows = one.select(F.explode(F.array(*(F.lit(m) for m in quality.METRICS))).alias("metric"), "bucket", "n")
-    a, b = (quality.fences(x, []).first() for x in (rows.union(rows), rows.union(rows).orderBy(F.desc("bucket"))))
-    assert a == b and a["rows"] == 28
+    a, b = (sorted(quality.quartiles(x, []).collect()) for x in (rows.union(rows), rows.union(rows).orderBy(F.desc("bucket"))))
+    assert a == b and {r["rows"] for r in a} == {28} and {(r.q1, r.q3) for r in a} == {(5000, 9000)}
 
 
-def test_bucket_is_close_below(spark):
+def test_buckets_are_narrow_and_in_order(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([(v,) for v in (0, 1, 127, 128, 129, 1000, 999_999, 10**12)], "v bigint").select("v", quality.bucket(F.col("v")).alias("b")).collect()
-    assert all(r.b <= r.v and r.v - r.b <= r.v / 64 for r in rows)
+    values = [0, 1, 127, 128, 129, 255, 256, 258, 1000, 1008, 999_999, 10**6, 10**12, 10**12 + 2**33]
+    rows = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", quality.bucket(F.col("v")).alias("b")).orderBy("v").collect()
+    assert [r.b for r in rows[:6]] == values[:6]
+    assert all(x.b <= y.b and (x.b < y.b) == ((y.v >> max(0, y.v.bit_length() - quality.DIGITS)) << max(0, y.v.bit_length() - quality.DIGITS) > x.v) for x, y in zip(rows[:-1], rows[1:], strict=True))
+
+
+def kept(spark, rows):
+    return {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame([(i, t, lang, src, len(t)) for i, (t, lang, src) in enumerate(rows)], DOCS)).collect()}
+
+
+def prose(k, n, symbol=0):
+    """n words, ``symbol`` of them followed by a symbol."""
+    return " ".join(f"w{(k * 7919 + i * 31) % 9973}{'#' * (i < symbol)}" for i in range(n))
+
+
+def test_fences_follow_each_group(spark):
+    """The same text is an outlier in a source without symbols and none in one that is full of them; more spread widens the fences."""
+    probe = prose(5000, 100, 40)
+    quiet = [(prose(k, 60 + k % 90), "en", "quiet") for k in range(300)]
+    loud = [(prose(k, 60 + k % 90, 5 + k % 40), "en", "loud") for k in range(300, 600)]
+    got = kept(spark, [*quiet, *loud, (probe, "en", "quiet"), (probe, "en", "loud")])
+    assert not got[600] and got[601]
+    assert sum(got[i] for i in range(600)) >= 590
+
+
+def test_small_groups_borrow_by_weight(spark):
+    """A few rows of a new source are judged mostly as their language's."""
+    quiet = [(prose(k, 60 + k % 90), "en", "quiet") for k in range(300)]
+    got = kept(spark, [*quiet, (prose(900, 100), "en", "new"), (prose(901, 100, 60), "en", "new"), (prose(902, 80), "xx", "other")])
+    assert got[300] and not got[301] and got[302]
+
+
+def test_a_source_of_copies_keeps_the_rest(spark):
+    """Where most rows are one text, quartiles coincide; the language's spread still holds."""
+    quiet = [(prose(k, 60 + k % 90), "en", "quiet") for k in range(300)]
+    copies = [(prose(7, 70), "en", "copies")] * 300
+    got = kept(spark, [*quiet, *copies, *((prose(k, 60 + k % 90), "en", "copies") for k in range(50))])
+    assert sum(got.values()) >= 640
+    assert all(kept(spark, [(prose(7, 70), "en", "s")] * 20).values())
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df = docs(spark, [*ODD, prose(1, 80)], extra=True)
+    names = ["lang_", "metric", "bucket", "rows", "q1", "q3", "spread", "n", "n_lines", *(f"{m}{e}" for m in quality.METRICS for e in ("", "_hi", "_lo"))]
+    wide = df.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    assert quality.keep_good(wide).columns == wide.columns
+    assert quality.keep_good(wide).count() == quality.keep_good(df).count() > 0
+    assert sorted(quality.quality_rules(wide).collect(), key=str) == sorted(quality.quality_rules(df).collect(), key=str)
