@@ -6,7 +6,8 @@ compatible with the last token of what stands before it, that is, BPE leaves the
 next to each other as they are. An automaton over the vocabulary finds the entries
 of (1), a memoised test decides (2). The table of last tokens holds the count of tokens of
 every prefix too; back-pointers give the ids. Time is linear in a word's length whatever it
-is, so a word of a million letters is no special case.
+is, so a word of a million letters is no special case. That holds for counts of all prefixes of a
+text too, but for a prefix that ends within a character's own combining marks.
 
 What stands before the merges (Unicode form, case, splitting) follows the tokenizer's own
 file: common characters by plain rules, all others by the library's own normalizer.
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import ahocorasick
 
@@ -40,6 +43,20 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+@cache
+def joining() -> frozenset[str]:
+    """Characters that composition may join to the one before, though they are no combining marks by class."""
+    second = {d.split(" ")[1] for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    return frozenset(chr(int(x, 16)) for x in second) | frozenset(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+
+
+def clusters(text: str) -> list[str]:
+    """The text in pieces that composition leaves apart."""
+    tied = joining()
+    cuts = [i for i, c in enumerate(text) if not i or not (unicodedata.combining(c) or c in tied)]
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -106,7 +123,12 @@ class WordBpe:
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
+        self.longest = max(len(t) for t in self.vocab)
+        self.letter = regex.compile(r"\p{L}+")
+        self.other = regex.compile(r"[^\s\p{L}\p{N}]+")
         self._words = Recent(self.word_ids, CACHED_WORDS)
+        self._counts = Recent(self.word_count, CACHED_WORDS)
+        self._forms = Recent(self.library.normalizer.normalize_str, CACHED_WORDS)
 
     # -- the merges, for single tokens and pairs only
 
@@ -188,6 +210,13 @@ class WordBpe:
         """The same, with what was found before kept."""
         return self._words[spelled]
 
+    def word_count(self, spelled: str) -> int:
+        """The count that the table has for the whole word."""
+        last, _, count = self.table(spelled + END)
+        if last[-1] < 0:
+            raise ValueError("the vocabulary doesn't cover this word")
+        return count[-1]
+
     def words(self, chunk: str) -> list[str]:
         """The words, in byte-level spelling, that the tokenizer makes of a chunk without white space."""
         body, tail = (chunk, ()) if chunk[-1] not in MARKS else (chunk[:-1], (chunk[-1],))
@@ -201,21 +230,27 @@ class WordBpe:
         normal = self.library.normalizer.normalize_str(chunk)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk, cut before and behind strings of special tokens."""
+        if self.special_split and "<|" in chunk:
+            return [p for p in self.special_split.split(chunk) if p]
+        return [chunk]
+
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         """The ids of a chunk without white space. No word reaches across white space, so a text's ids are its chunks' ids."""
-        if self.special_split and "<|" in chunk and len(parts := self.special_split.split(chunk)) > 1:
-            out: tuple[int, ...] = ()
-            for p in parts:
-                if p in self.special:
-                    out += (self.special[p],)
-                elif p:
-                    out += self.chunk_ids(p)
-            return out
-        out = ()
-        for w in self.words(chunk):
-            out += self.spelled_ids(w)
+        out: tuple[int, ...] = ()
+        for p in self.parts(chunk):
+            if p in self.special:
+                out += (self.special[p],)
+            else:
+                for w in self.words(p):
+                    out += self.spelled_ids(w)
         return out
 
+    def chunk_count(self, chunk: str) -> int:
+        """The count of tokens of a chunk without white space, from its words' tables; no ids are made."""
+        return sum(1 if p in self.special else sum(map(self._counts.__getitem__, self.words(p))) for p in self.parts(chunk))
+
     def encode(self, text: str) -> list[int]:
         return [i for c in CHUNK.findall(text) for i in self.chunk_ids(c)]
 
@@ -226,46 +261,101 @@ class WordBpe:
     # -- counts of prefixes
 
     def prefix_counts(self, text: str) -> list[int]:
-        """The count of tokens of ``text[:k]`` for every k from 0 to len(text).
-
-        Within a chunk of plain characters each word's table is filled once: a prefix that
-        ends inside a word closes it there, so its last token is one with the end-of-word
-        suffix that fits the table's entries. Other chunks are counted prefix by prefix.
-        """
+        """The count of tokens of ``text[:k]`` for every k from 0 to len(text)."""
         out, base, pos = [0], 0, 0
         for m in CHUNK.finditer(text):
             out += [base] * (m.start() - pos)
-            chunk = m.group()
-            if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                out += [base + x for x in self._plain_prefixes(chunk)]
-            else:
-                out += [base + len(self.chunk_ids(chunk[: k + 1])) for k in range(len(chunk))]
+            out += [base + x for x in self.chunk_prefixes(m.group())]
             base, pos = out[-1], m.end()
         out += [base] * (len(text) - pos)
         return out
 
-    def _plain_prefixes(self, chunk: str) -> list[int]:
-        low = chunk.lower()
-        out, before = [], 0
-        for w in self.split.finditer(low):
-            word = w.group()
-            if word[0] == "'" and len(word) > 1:  # a clitic is shorter than its prefixes' own split
-                out += [before + sum(len(self.spelled_ids(self.spell(x))) for x in self.split.findall(word[: k + 1])) for k in range(len(word))]
+    def chunk_prefixes(self, chunk: str) -> list[int]:
+        """The counts of a chunk's prefixes of 1, 2, ... characters."""
+        out, base, plain = [], 0, ""
+        for p in self.parts(chunk):
+            if p in self.special:  # until its last character is there, it is text like that before it
+                out += [base + x for x in self.text_prefixes(plain + p)[len(plain) : -1]]
+                base += (self.text_prefixes(plain)[-1] if plain else 0) + 1
+                out.append(base)
+                plain = ""
             else:
-                last, _, count = self.table(self.spell(word))
-                at = 0
-                for ch in word:
-                    at += len(ch.encode())
-                    out.append(before + self._closed(self.spell(word), at, last, count))
+                out += [base + x for x in self.text_prefixes(p)]
+                plain = p
+        return out
+
+    def text_prefixes(self, text: str) -> list[int]:
+        """The counts of the prefixes of a text without white space and special tokens.
+
+        Each word's table is filled once. A prefix that ends inside a word closes it there: its last token is one
+        with the end-of-word suffix that fits the table's entries, and no longer than the longest of those.
+        """
+        if PLAIN.fullmatch(text):
+            low = text.lower()
+            return self._closed([(self.spell(w.group()), w.start(), w.end()) for w in self.split.finditer(low)], low)[1:]
+        pieces = clusters(text)
+        forms = [self._forms[x] for x in pieces]
+        normal = "".join(forms)
+        words = [(w, a, b) for w, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        closed = self._closed(words, normal)
+        out, at, now, table = [], 0, 0, None
+        for piece, form in zip(pieces, forms, strict=True):
+            for k in range(1, len(piece)):  # a prefix that ends before all marks of a character are there
+                while now + 1 < len(words) and words[now + 1][1] < at:
+                    now += 1
+                if table is None or table[0] != now:
+                    table = (now, *self.table(words[now][0]))
+                out.append(self._with_tail(words[now], normal, at, self.library.normalizer.normalize_str(piece[:k]), closed, table[1], table[3]))
+            at += len(form)
+            out.append(closed[at])
+        return out
+
+    def _closed(self, words: list[tuple[str, int, int]], normal: str) -> list[int]:
+        """The counts of all prefixes of normalized text that consists of ``words`` (spelling, start, end)."""
+        out = [0]
+        for spelled, a, b in words:
             before = out[-1]
+            if normal[a] == "'" and b - a > 1 and self.letter.match(normal, a + 1):  # a clitic; its prefixes are split otherwise
+                out += [before + self._split_count(normal[a:k]) for k in range(a + 1, b + 1)]
+                continue
+            last, _, count = self.table(spelled)
+            at = 0
+            for ch in normal[a:b]:
+                at += len(ch.encode())
+                out.append(before + self._ended(spelled, at, "", last, count))
         return out
 
-    def _closed(self, spelled: str, end: int, last: list[int], count: list[int]) -> int:
-        """The count of tokens of the word that ends at ``end``, from the table of a longer one."""
-        for start in range(end):
-            token = self.vocab.get(spelled[start:end] + self.suffix)
-            if token is not None and (self.alone(token) if start == 0 else last[start] >= 0 and self.compatible(last[start], token)):
-                return count[start] + 1
+    def _split_count(self, normal: str) -> int:
+        return sum(self._counts[self.spell(x)] for x in self.split.findall(normal))
+
+    def _with_tail(self, word: tuple[str, int, int], normal: str, at: int, tail: str, closed: list[int], last: list[int], count: list[int]) -> int:
+        """The count of tokens of ``normal[:at] + tail``, where ``word`` is that which ``at`` ends or stands in."""
+        spelled, a, b = word
+        if not at:
+            return self._split_count(tail)
+        if at <= b and normal[a] != "'" and any(x.fullmatch(tail) and x.fullmatch(normal, at - 1, at) for x in (self.letter, self.other)):
+            return closed[a] + self._ended(spelled, len(normal[a:at].encode()), self.spell(tail), last, count)
+        return closed[a] + self._split_count(normal[a:at] + tail)
+
+    def _ended(self, spelled: str, end: int, tail: str, last: list[int], count: list[int]) -> int:
+        """The count of tokens of the word ``spelled[:end] + tail``, from the table of ``spelled``."""
+        low = max(0, end - self.longest)
+        near, stop = spelled[low:end] + tail, end + len(tail)
+        more: dict[int, tuple[int, int]] = {}  # what the table would have behind ``end``
+
+        def fitting(e: int, suffix: str) -> Iterator[tuple[int, int]]:
+            for start in range(max(0, e - self.longest), e):
+                token = self.vocab.get(near[start - low : e - low] + suffix)
+                if token is None:
+                    continue
+                before, so_far = (last[start], count[start]) if start <= end else more.get(start, (-1, 0))
+                if self.alone(token) if start == 0 else before >= 0 and self.compatible(before, token):
+                    yield token, so_far + 1
+
+        for e in range(end + 1, stop + 1):
+            more[e] = next(fitting(e, ""), (-1, 0))
+        for _, n in fitting(stop, self.suffix):
+            return n
         raise ValueError("the vocabulary doesn't cover this word")
 
 

@@ -1,8 +1,10 @@
 """Exact token counts at every prefix, without re-encoding.
 
-The prefix table of ``bpe`` holds the token count of every prefix of a text. Stored
-with a document it answers "how many tokens are in the first k characters", "where do I cut
-to stay within a budget" and "is it over the limit" by look-ups.
+The prefix table of ``bpe`` holds the token count of every prefix of a word; a text's table is made of
+its words'. Stored with a document it answers "how many tokens are in the first k characters", "where do I
+cut to stay within a budget" and "is it over the limit" by look-ups. Counts of the query are those that the
+tables end with, kept for words and chunks, and added up to counts at all chunks' ends; those tell whether the
+text is over the limit and which chunk holds the cut, and that chunk's own prefix table the cut itself.
 
 Defined results for odd input: a null text counts as the empty one, with 0 tokens; strings
 of special tokens inside texts become those tokens, as the library's default has it;
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,27 +56,43 @@ def prefix_counts(text: str, vocabulary: str | None = None) -> PrefixCounts:
 _KEPT: dict[str, bpe.Recent] = {}
 
 
-def _counter(vocabulary: str):
-    """text -> tokens; each chunk's table is filled once and its last entry kept."""
-    m = bpe.model(vocabulary)
-    if vocabulary not in _KEPT:
-        _KEPT[vocabulary] = bpe.Recent(lambda chunk: len(m.chunk_ids(chunk)), bpe.CACHED_CHUNKS)
-    count, chunks = _KEPT[vocabulary].__getitem__, bpe.CHUNK.findall
-    return lambda text: sum(map(count, chunks(text)))
+class Counter:
+    """Counts of texts, from the prefix tables of their words."""
+
+    def __init__(self, vocabulary: str, limit: int):
+        self.model, self.limit = bpe.model(vocabulary), limit
+        self.count = _KEPT.setdefault(vocabulary, bpe.Recent(self.model.chunk_count, bpe.CACHED_CHUNKS)).__getitem__
+
+    def __call__(self, text: str) -> tuple[int, bool, int]:
+        """(tokens, whether they are over the limit, characters of the longest prefix that isn't)."""
+        ends = list(accumulate(map(self.count, bpe.CHUNK.findall(text))))
+        if not ends or ends[-1] <= self.limit:
+            return (ends[-1] if ends else 0), self.limit < 0, len(text)
+        return ends[-1], True, self.cut(text, ends)
+
+    def cut(self, text: str, ends: list[int]) -> int:
+        """The longest prefix within the limit: up to the chunk that passes it, and what fits of that."""
+        k = bisect_right(ends, self.limit)
+        at = next(islice(bpe.CHUNK.finditer(text), k, None))
+        room = self.limit - (ends[k - 1] if k else 0)
+        fits = [n for n, c in enumerate(self.model.chunk_prefixes(at.group()), 1) if c <= room]
+        return at.start() + (fits[-1] if fits else 0)
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_tokens, over_limit."""
+    """One row for each row of ``docs``: doc_id, n_bytes, n_tokens, over_limit, and fit_chars, the characters of its longest prefix of at most ``limit`` tokens."""
     vocabulary = vocabulary or bpe.default_vocabulary()
-    schema = T.StructType([docs.select("doc_id").schema[0], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    more = (("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType()), ("fit_chars", T.LongType()))
+    schema = T.StructType([docs.select("doc_id").schema[0], *(T.StructField(n, t) for n, t in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = _counter(vocabulary)
+        counted = Counter(vocabulary, limit)
         for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([total(x) for x in b.column(1).to_pylist()], pa.int64())], names=schema.names)
+            found = [counted(x) for x in b.column(1).to_pylist()]
+            columns = list(zip(*found, strict=True)) if found else [[], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64()), strict=True))], names=schema.names)
 
-    counted = docs.select("doc_id", text_of().alias("text"), F.octet_length(text_of()).cast("bigint").alias("n_bytes")).mapInArrow(run, schema)
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.select("doc_id", text_of().alias("text"), F.octet_length(text_of()).cast("bigint").alias("n_bytes")).mapInArrow(run, schema)
 
 
 def with_prefix_counts(docs: DataFrame, step: int = 1, vocabulary: str | None = None) -> DataFrame:
