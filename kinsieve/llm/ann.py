@@ -1,11 +1,16 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-Vectors are dealt to shards of about SHARD distinct vectors. In each shard a directed
+Vectors are dealt to shards by hash, a shard a partition. In each shard a directed
 graph is built: greedy searches from the entry propose neighbours of each vector, and
 relaxed pruning keeps a neighbour only if no kept one is closer to it by the factor ALPHA, so
 that edges stay diverse. Each query walks every shard's graph by beam search; what the
 beams hold is scored exactly, and the shards' best are merged.
 
+A shard has at least SHARD vectors (or all), as many as give each core two shards, and at most MOST, which
+is what a task holds with its graph: until all shards are that large, more rows make larger shards, not more
+searches. Beams widen with the root of a shard's size, which keeps the recall. Queries
+stream past a shard's graph, so a task never holds them all.
+
 Equal vectors are one node, with the smallest vec_ids kept for it (K + 1 are enough for
 any query), so a vector that fills a third of the table costs one node and is found whole.
 
@@ -20,13 +25,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 10
 SHARD = 4096
+MOST = 65_536
 DEGREE = 28
 BEAM = 64
 WIDTH = 4
@@ -134,23 +139,54 @@ def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.sqrt(((v - q) ** 2).sum(-1))
 
 
-def search_shard(vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray, query_ids: list[int], k: int = K, beam: int = BEAM) -> list[tuple[int, int, float]]:
-    """The k nearest candidates of each query in one shard: (query_id, vec_id, score)."""
-    out: list[tuple[int, int, float]] = []
-    if not len(vectors):
-        return out
-    edges, entry = build_graph(vectors)
-    x = vectors.astype(np.float32)
-    x2 = (x * x).sum(1)
-    for i in range(0, len(queries), BATCH):
-        q = queries[i : i + BATCH]
-        beams = beam_search(q.astype(np.float32), x, x2, edges, entry, max(beam, 2 * k))
-        for own, point, found in zip(query_ids[i : i + BATCH], q, beams, strict=True):
-            found = found[found >= 0]
-            near = exact(point, vectors[found])
-            best = sorted((s, c) for s, f in zip(near.tolist(), found.tolist(), strict=True) for c in ids[f] if c != own)[:k]
-            out += [(own, c, s) for s, c in best]
-    return out
+class Shard:
+    """The graph over distinct vectors of one length; ``ids`` are the candidates that each stands for."""
+
+    def __init__(self, vectors: np.ndarray, ids: list[list[int]], k: int = K):
+        order = np.lexsort((*vectors.T[::-1], [min(x) for x in ids]))
+        self.vectors, self.ids, self.k = vectors[order], [ids[i] for i in order.tolist()], k
+        self.edges, self.entry = build_graph(self.vectors)
+        self.x = self.vectors.astype(np.float32)
+        self.x2 = (self.x * self.x).sum(1)
+        self.beam = max(2 * k, int(BEAM * max(1.0, len(vectors) / SHARD) ** 0.5))
+
+    def search(self, queries: np.ndarray, query_ids: list[int]) -> Iterator[tuple[int, int, float]]:
+        """The k nearest candidates of each query: (query_id, vec_id, score)."""
+        for i in range(0, len(queries), BATCH):
+            q = queries[i : i + BATCH]
+            beams = beam_search(q.astype(np.float32), self.x, self.x2, self.edges, self.entry, self.beam)
+            for own, point, found in zip(query_ids[i : i + BATCH], q, beams, strict=True):
+                found = found[found >= 0]
+                near = exact(point, self.vectors[found])
+                best = sorted((s, c) for s, f in zip(near.tolist(), found.tolist(), strict=True) for c in self.ids[f] if c != own)[: self.k]
+                yield from ((own, c, s) for s, c in best)
+
+
+def searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score) from rows in order of (shard, dim, kind): a shard's vectors (kind 0), then the queries (kind 1)."""
+    now: tuple[int, int] | None = None
+    held: list[tuple[np.ndarray, list[list[int]]]] = []
+    graph: Shard | None = None
+    for b in batches:
+        shard, dim, kind = (b.column(c).to_numpy() for c in range(3))
+        cuts = np.flatnonzero((np.diff(shard, prepend=-1) != 0) | (np.diff(dim, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+            at = (int(shard[lo]), int(dim[lo]))
+            if at != now:
+                now, held, graph = at, [], None
+            part = b.slice(lo, hi - lo)
+            vectors = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+            if not kind[lo]:
+                held.append((vectors.copy(), part.column(5).to_pylist()))
+                continue
+            if held:
+                graph = Shard(np.concatenate([v for v, _ in held]), [i for _, ids in held for i in ids], k)
+                held = []
+            if graph is None:  # no vectors of this length here
+                continue
+            rows = list(graph.search(vectors, part.column(3).to_pylist()))
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
 
 def valid(vector: Column) -> Column:
@@ -189,23 +225,23 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return part.groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
+def shards_for(rows: int, cores: int, least: int = SHARD, most: int = MOST) -> int:
+    """How many shards ``rows`` vectors are dealt to."""
+    return max(1, -(-rows // most), min(round(rows / least), 2 * cores))
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` its k nearest rows of ``base``; both have vec_id and embedding."""
     prepare = lambda df: df.where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda c: c + F.lit(0.0)).alias("vector"))  # noqa: E731  -0.0 becomes 0.0
     rows, asked = prepare(base), prepare(queries)
-    shards = max(1, round(rows.count() / shard))
-    deal = F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")
-    parts = distinct_vectors(rows, k).select(F.size("vector").alias("dim"), deal.alias("shard"), "vector", "ids")
-    spread = asked.dropDuplicates(["vec_id"]).select(F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "vector")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        right = right.assign(_first=[min(x) for x in right["ids"]]).sort_values("_first", kind="stable")
-        got = search_shard(np.stack(right["vector"].to_list()), [list(map(int, x)) for x in right["ids"]], np.stack(left["vector"].to_list()), left["vec_id"].astype("int64").tolist(), k)
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
-
-    deal_out = lambda df: df.repartition(2 * shards, "dim", "shard")  # noqa: E731  a shard is little data but much work, so small ones must not be put together
-    found = deal_out(spread).groupBy("dim", "shard").cogroup(deal_out(parts).groupBy("dim", "shard")).applyInPandas(run, "query_id bigint, vec_id bigint, score double")
+    shards = shards_for(rows.count(), base.sparkSession.sparkContext.defaultParallelism, shard, most)
+    dim = F.size("vector").alias("dim")
+    deal = F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard")
+    vectors = distinct_vectors(rows, k).select(deal, dim, F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("vec_id"), "vector", "ids")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    spread = asked.dropDuplicates(["vec_id"]).select(every, dim, F.lit(1).alias("kind"), "vec_id", "vector", F.lit(None).cast("array<bigint>").alias("ids"))
+    # a shard is little data but much work, so each gets a partition of its own
+    dealt = vectors.union(spread).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "kind", "vec_id")
+    found = dealt.mapInArrow(lambda batches: searched(batches, k), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

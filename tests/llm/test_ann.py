@@ -23,7 +23,7 @@ def test_recall_on_several_shards(spark):
     centers = rng.normal(size=(20, 24))
     x = (centers[rng.integers(0, 20, 1500)] + 0.4 * rng.normal(size=(1500, 24))).astype(np.float32)
     df = table(spark, x)
-    rows = ann.nearest(df, df.where("vec_id % 50 = 0"), shard=500).collect()
+    rows = ann.nearest(df, df.where("vec_id % 50 = 0"), shard=500, most=500).collect()
     got = {}
     for r in rows:
         got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
@@ -56,3 +56,34 @@ def test_odd_rows(spark):
     assert sorted((r.query_id, r.vec_id) for r in rows) == [(6, 7), (7, 6), (8, 9), (9, 8)]
     assert ann.nearest(df.limit(0), df.limit(0)).collect() == []
     assert ann.nearest(df.where("vec_id = 6"), df.where("vec_id = 6")).collect() == []
+
+
+def test_shards_grow_before_their_number_does():
+    assert [ann.shards_for(n, 8) for n in (0, 1, 4096, 10_000, 65_536, 1_000_000, 2_000_000, 10**9)] == [1, 1, 1, 2, 16, 16, 31, 15259]
+
+
+def test_large_shard_keeps_its_recall():
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(60, 32))
+    x = centers[rng.integers(0, 60, 9000)] + 0.5 * rng.normal(size=(9000, 32))
+    shard = ann.Shard(x, [[i] for i in range(9000)])
+    assert shard.beam == int(64 * (9000 / 4096) ** 0.5)
+    got = {}
+    for own, c, _ in shard.search(x[:100], list(range(100))):
+        got.setdefault(own, []).append(c)
+    d = ((x[:100, None] - x[None]) ** 2).sum(2)
+    hit = sum(len({c for c in np.argsort(d[i])[:11].tolist() if c != i} & set(got[i])) for i in range(100))
+    assert hit >= 950
+
+
+def test_clashing_columns_and_layouts(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    df = table(spark, np.round(rng.normal(size=(300, 6)), 1).astype(np.float32))
+    wide = df.select("*", *(F.lit(3).alias(c) for c in ("shard", "dim", "kind", "vector", "ids", "rank", "score", "query_id", "part")))
+    want = sorted(map(tuple, ann.nearest(df, df.where("vec_id % 30 = 0")).collect()))
+    assert len(want) == 100
+    for parts in (1, 7):
+        some = wide.repartition(parts)
+        assert sorted(map(tuple, ann.nearest(some, some.where("vec_id % 30 = 0")).collect())) == want
