@@ -13,9 +13,10 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
 
     Each round re-hangs neighbours onto smaller ones, once upwards and once downwards, until
     each component is a star around its root; that takes a number of rounds logarithmic in the
-    components' diameters. Minima are aggregated before the shuffle and joined back, so a
-    node with very many neighbours is never gathered in one place. ``keep`` materialises a
-    round's edges (a checkpoint or a written table) and cuts the lineage.
+    components' diameters. Minima are aggregated before the shuffle, kept, and joined back as tables of known size:
+    broadcast while they are small, else merged, where adaptive execution splits the rows of a node
+    with very many neighbours, so these are never gathered in one place. ``keep`` materialises a
+    step's rows (a checkpoint or a written table) and cuts the lineage.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -26,10 +27,10 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
             break
         # large star: the larger neighbours of a node move to its least neighbour
         around = both(now)
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        up = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = keep(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        up = keep(around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         # small star: a node and its smaller neighbours move to the least of them
-        least = up.groupBy("a").agg(F.min("b").alias("m"))
+        least = keep(up.groupBy("a").agg(F.min("b").alias("m")))
         down = up.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = keep(down)
         was, seen = seen, mark(now)
