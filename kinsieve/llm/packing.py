@@ -238,7 +238,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -
     places = Places(plan(hist, window), window)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = rests.join(offsets, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # a merged join on purpose: there are offsets for each partition, so they grow with the data
+    ranked = rests.join(offsets.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
     schema = T.StructType([*(pieces.schema[c] for c in cols), T.StructField("offset", T.LongType())])
 

@@ -79,3 +79,41 @@ def test_both_libraries_agree():
     assert e.fast is not None
     for t in [x for x in ODD if x is not None] + ["a \x1cb\x1d  c", "  lead", "trail  ", "x y 　z", "a\n\n b\t\tc", "\u0085q \x0b r"]:
         assert np.frombuffer(e([t])[0], "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids
+
+
+def nnls(a, b):
+    """Reference: the active-set method on normal equations."""
+    m = a.shape[1]
+    x, active = np.zeros(m), np.zeros(m, bool)
+    for _ in range(10 * m):
+        w = a.T @ (b - a @ x)
+        w[active] = -np.inf
+        if w.max(initial=-np.inf) <= 1e-9:
+            break
+        active[int(w.argmax())] = True
+        while True:
+            s = np.zeros(m)
+            s[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            bad = active & (s <= 1e-12)
+            if not bad.any():
+                x = s
+                break
+            step = min(x[k] / (x[k] - s[k]) for k in np.flatnonzero(bad))
+            x = x + step * (s - x)
+            active &= x > 1e-12
+    return x
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_least_squares_equal_the_reference(seed):
+    rng = np.random.default_rng(seed)
+    hist = np.zeros(64, np.int64)
+    hist[rng.choice(np.arange(1, 64), 20, replace=False)] = rng.integers(1, 200, 20)
+    columns = packing.combinations(hist, 64)
+    a = np.zeros((64, len(columns)))
+    for j, c in enumerate(columns):
+        for k, v in c.items():
+            a[k, j] = v
+    want = ((a @ nnls(a, hist.astype(float)) - hist) ** 2).sum()
+    x = packing.solve(columns, hist, 3000)
+    assert (x >= 0).all() and ((a @ x - hist) ** 2).sum() <= want * 1.01 + 1
