@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 1. A bounded sample of labelled rows (MAX_TRAIN, those with the smallest hash of their id) is
-   split by hash into a part for fitting and a part for calibration.
+   split: every third row of each kind is for calibration, the others are for fitting.
 2. Words, and beginnings of words, that toxic texts of the fitting part hold far more often
    than others become the lexicon (at most MAX_TERMS), beside a short fixed one.
 3. One pass over all texts makes the features: lexicon densities, second-person proximity,
@@ -12,9 +12,10 @@
 Labels come only from rows that are not held out; labels, lang, source and ids are no inputs.
 
 Defined results for odd input: a null text is the empty one and gets a score as any other;
-rows with a null doc_id are scored and count as not held out; without labelled rows of both
-kinds every score is the share of toxic ones (0 without any labels); repeated label rows count as
-one, toxic if any of them is; null labels are none; other columns are ignored.
+rows with a null doc_id are scored and count as not held out; where all labels are of one kind every
+score is that label (0 without any labels); with fewer than three rows of a kind, all serve to fit and to
+calibrate; repeated label rows count as one, toxic if any of them is; of labelled rows that repeat a doc_id,
+the one with the least features is fitted on; null labels are none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,10 +172,11 @@ class Trees:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best non-decreasing fit (pool adjacent violators): mean scores and values of its blocks, to interpolate between."""
-    order = np.argsort(score, kind="stable")
+    level, at = np.unique(score, return_inverse=True)  # equal scores are one
+    times = np.bincount(at).astype(float)
     blocks: list[list[float]] = []  # sum of y, rows, sum of scores
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1.0, s])
+    for s, v, n in zip(level.tolist(), np.bincount(at, y).tolist(), times.tolist(), strict=True):
+        blocks.append([v, n, s * n])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             top = blocks.pop()
             blocks[-1] = [a + c for a, c in zip(blocks[-1], top, strict=True)]
@@ -198,10 +200,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, y, part) of at most ``most`` labelled rows that are not held out: part 0 to fit, 1 to calibrate."""
+    """(doc_id, y, part) of at most ``most`` labelled rows that are not held out: part 1, every third of each kind, to calibrate, part 0 to fit."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     rows = rows.where(fold(F.col("doc_id")) != 2).withColumn("h", F.xxhash64("doc_id", F.lit(5)))
-    return rows.orderBy("h", "doc_id").limit(most).select("doc_id", "y", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).cast("int").alias("part"))
+    some = rows.orderBy("h", "doc_id").limit(most)
+    return some.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))).select("doc_id", "y", (F.col("n") % 3 == 0).cast("int").alias("part"))
 
 
 def learn_lexicon(texts: DataFrame, most: int = MAX_TERMS) -> dict[str, float]:
@@ -243,12 +246,14 @@ def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 
 
 def fit(rows: list) -> Calibrated | float:
-    """A model from the sample's rows (f, y, part), or the share of toxic ones if a part lacks one kind."""
+    """A model from the sample's rows (f, y, part). If a part lacks one kind, all rows serve to fit and to calibrate; if all are of one kind, the score is their label."""
     if not rows:
         return 0.0
     x, y, part = np.array([r["f"] for r in rows], np.float64), np.array([r["y"] for r in rows], np.float64), np.array([r["part"] for r in rows])
+    if len(np.unique(y)) < 2:
+        return float(y[0])
     if any(len(np.unique(y[part == k])) < 2 for k in (0, 1)):
-        return float(y.mean())
+        return Calibrated(Trees().fit(x, y), x, y)
     return Calibrated(Trees().fit(x[part == 0], y[part == 0]), x[part == 1], y[part == 1])
 
 
@@ -259,7 +264,8 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, cut: f
     small = F.broadcast(sample)  # max_train rows of 16 bytes at most
     lexicon = learn_lexicon(one.join(small.where("part = 0"), "doc_id"))
     feats = spilled(with_features(docs, lexicon), "toxic-features")
-    model = fit(feats.join(small, "doc_id").dropDuplicates(["doc_id"]).select("f", "y", "part").collect())  # max_train rows at most
+    known = feats.join(small, "doc_id").groupBy("doc_id").agg(F.min(F.struct("f", "y", "part")).alias("r")).select("doc_id", "r.*")
+    model = fit(known.orderBy("doc_id").collect())  # max_train rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -66,3 +66,44 @@ def test_features_have_names():
     got = dict(zip(toxicity.NAMES, f, strict=True))
     assert got["hits"] == 1 and got["begins"] == 2.5 and got["near_second"] == 1 and got["caps_words"] > 0 and got["runs"] > 0 and got["masked"] > 0
     assert len(toxicity.Features({})("")) == len(toxicity.NAMES)
+
+
+def test_isotonic_equals_brute_force():
+    """The fit at i is the greatest, over starts a <= i, of the least mean, over ends b >= i, of a..b."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 40):
+        score, y = rng.integers(0, 12, n).astype(float), rng.integers(0, 2, n).astype(float)
+        level = np.unique(score)
+        mean = lambda a, b: y[(score >= a) & (score <= b)].mean()  # noqa: E731,B023
+        want = [max(min(mean(a, b) for b in level if b >= v) for a in level if a <= v) for v in level]
+        at, value = toxicity.isotonic(score, y)
+        ends = [np.flatnonzero(np.isclose(want, v))[-1] for v in value]
+        assert np.allclose(np.unique(np.round(want, 12)), value)
+        assert (np.diff(at) > 0).all() and all(at[k] <= level[e] for k, e in enumerate(ends))
+
+
+def test_first_split_equals_exhaustive_search():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 20, (200, 3)).astype(float)
+    y = ((x[:, 1] > 11) ^ (rng.random(200) < 0.1)).astype(float)
+    trees = toxicity.Trees(rounds=1, depth=1).fit(x, y)
+    p = y.mean()
+    g, h = y - p, np.full(200, p * (1 - p))
+    best = max(((g[x[:, j] < c].sum() ** 2 / (h[x[:, j] < c].sum() + 1) + g[x[:, j] >= c].sum() ** 2 / (h[x[:, j] >= c].sum() + 1)), j, c) for j in range(3) for c in np.unique(x[:, j])[1:] if h[x[:, j] < c].sum() >= 1.25 and h[x[:, j] >= c].sum() >= 1.25)
+    low = x[:, best[1]] < best[2]
+    want = np.where(low, g[low].sum() / (h[low].sum() + 1), g[~low].sum() / (h[~low].sum() + 1)) * 0.1 + np.log(p / (1 - p))
+    assert np.allclose(trees.predict(x), want)
+
+
+def test_few_labels_and_repeated_ids(spark):
+    rows, labels = corpus(60)
+    used = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic, clean = [i for i in used if labels[i][2]][:2], [i for i in used if not labels[i][2]][:2]
+    few = spark.createDataFrame([labels[i] for i in toxic + clean], LABELS)
+    assert len(toxic) == 2
+    out = toxicity.score(spark.createDataFrame(rows, DOCS), few).collect()
+    assert all(0 <= r.score <= 1 for r in out) and len(out) == 60
+    twice = spark.createDataFrame([*rows, (used[0], "another text " * 30, "en", "s", 0), (used[1], None, "en", "s", 0)], DOCS)
+    every = spark.createDataFrame(labels, LABELS)
+    a, b = (sorted((str(r.doc_id), r.score) for r in toxicity.score(twice.repartition(n), every).collect()) for n in (1, 5))
+    assert a == b and len(a) == 62
