@@ -6,16 +6,17 @@ Texts are sets of hashed five-word runs; two are linked if their Jaccard similar
 1. MinHash values, cut into BANDS of ROWS, propose candidates: a linked pair shares no
    band with a probability below 3e-6. Only the least class of each bucket is linked to
    the others, so a bucket of any size costs one row for each member.
-2. Connected components of those links are the candidate groups. Large ones are dealt into
-   blocks by hash; each pair of blocks is a task of bounded size.
+2. Connected components of those links are the candidate groups, the families. Large ones are dealt into
+   blocks by hash, of about BLOCK_BYTES; each pair of blocks is a group of bounded size.
 3. Within a block the values are compared step by step. A pair is dropped as soon as
    the posterior probability (uniform prior) that its similarity reaches the threshold falls
    below TOLERANCE; all others are verified exactly on the whole sets.
 4. A block returns, for each class, how many rows it is linked to and the least class
    of its component, never the pairs. Counts are added up; components are joined.
 
-Comparing the members of one family of near copies with each other takes time in the square of
-its size (bounded tasks, no rows), as each may or may not be linked with each.
+Comparing the members of one family with each other takes time in the square of its size, as each may
+or may not be linked with each. Tasks are bounded and no pairs are made rows of; but each block meets
+each other one of its family, so a class of a family of B blocks is sent B times.
 
 Defined results for odd input: a text without words (null, empty) is linked to nothing; one
 to four words are one run; rows with a null doc_id are linked to nothing and keep a null class;
@@ -44,8 +45,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 42, 6
 STEP = 36
 TOLERANCE = 1e-7
-#: Classes in a block; a task holds two blocks.
-BLOCK = 512
+#: Bytes of sets and MinHash values in a block, and classes at most; a task holds two blocks.
+BLOCK_BYTES = 6_000_000
+BLOCK = 1536
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -139,8 +141,7 @@ def _sets(docs: DataFrame, full: bool) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 key, n, x, y = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    s = np.unique(shingles.sequence(text))
+                for s in map(np.unique, shingles.sequences(part.column(1).to_pylist())):
                     key.append(class_key(s) if len(s) else None)
                     n.append(len(s))
                     sig = minhash(s) if len(s) else None
@@ -191,15 +192,16 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keep = lambda df: spilled(df, "jaccard")
     every = keep(_sets(docs, False))
     one = F.min(F.struct("key", "n", "bands")).alias("s")
-    rows = every.where("doc_id is not null and key is not null").groupBy("doc_id").agg(one).select("doc_id", "s.key", "s.bands")
-    nodes = keep(rows.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    rows = every.where("doc_id is not null and key is not null").groupBy("doc_id").agg(one).select("doc_id", "s.key", "s.n", "s.bands")
+    nodes = keep(rows.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket", "least")
     # a merged join on purpose: both sides grow with the data, so the plan is the same at every size
     stars = entries.join(buckets.hint("merge"), "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = keep(connected_components(stars, keep))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = keep(groups.join(sizes, "root").join(nodes.select("node", "key", "copies"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    members = groups.join(nodes.select("node", "key", "copies", "n"), "node")
+    sizes = keep(members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n") * 8 + BANDS * ROWS * 4) / BLOCK_BYTES)).cast("int").alias("blocks")))
+    wanted = keep(members.drop("n").join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     # the sets of those classes' least documents, once
     members = _sets(docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), True)
     full = wanted.join(members.withColumnRenamed("doc_id", "node"), ["node", "key"])
