@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ def build_bag(parts: DataFrame) -> DataFrame:
     return parts.groupBy("form_id", "fp").agg(F.count("*").alias("cnt"))
 
 
+def bag_of_array(forms: DataFrame, form_id: str, fps: str) -> DataFrame:
+    """(form_id, fp, cnt) where a row holds all fingerprints of its form: sorted and counted inside the row, without a shuffle."""
+    own = forms.select(F.col(form_id).alias("form_id"), F.array_sort(fps).alias("s"))
+    head = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    heads = own.where(F.size("s") > 0).select("form_id", "s", head.alias("h"))
+    pair = lambda at, k: F.struct(F.get("s", at).alias("fp"), (F.coalesce(F.get("h", k + 1), F.size("s")) - at).cast("bigint").alias("cnt"))
+    return heads.select("form_id", F.explode(F.transform("h", pair)).alias("e")).select("form_id", "e.fp", "e.cnt")
+
+
 def bag_sizes(bag: DataFrame) -> DataFrame:
     """(form_id, bag_size): how many fingerprints a form has, with repeats."""
     return bag.groupBy("form_id").agg(F.sum("cnt").alias("bag_size"))
@@ -36,11 +47,15 @@ def unsigned_order(fp: Column, kind: str) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63))) if kind == "bigint" else fp
 
 
-def prefix_keys(bag: DataFrame, threshold: float) -> DataFrame:
-    """(form_id, fp, cnt, df, position): rarest fingerprints first, as long as what stands before is less than the prefix mass."""
+def prefix_keys(bag: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(form_id, fp, cnt, df, position): rarest fingerprints first, as long as what stands before is less than the prefix mass.
+
+    ``keep`` may write the fingerprints' counts as a table: then they are broadcast while they are small, else
+    merged with rows that adaptive execution splits where a fingerprint is in very many forms.
+    """
     order = unsigned_order(F.col("fp"), dict(bag.dtypes)["fp"])
     w = Window.partitionBy("form_id").orderBy("df", order)
-    ranked = bag.join(fingerprint_df(bag), "fp").select(
+    ranked = bag.join(keep(fingerprint_df(bag)), "fp").select(
         "form_id", "fp", "cnt", "df",
         (F.row_number().over(w) - 1).cast("bigint").alias("position"),
         F.coalesce(F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,21 +25,31 @@ def within_window(small: Column, large: Column, threshold: float) -> Column:
     return F.lit(True) if threshold <= 0 else large <= small / F.lit(float(threshold)) + 1
 
 
-def candidates(remaining: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+def size_band(size: Column, threshold: float) -> Column:
+    """Bands of sizes, each as wide as the window: what reaches the threshold lies in the smaller size's band or soon above."""
+    if threshold <= 0 or threshold >= 1:
+        return F.lit(0) if threshold <= 0 else size.cast("int")
+    return F.floor(F.log(size.cast("double")) / F.lit(-math.log(threshold))).cast("int")
+
+
+def candidates(remaining: DataFrame, bag: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(left_id, left_size, right_id, right_size, tie_rank) of pairs of one kind that share a prefix key and may reach the threshold; left is the smaller by (size, id).
 
     tie_rank is the place, in the left prefix, of the first shared key. What two prefixes share is
     known when their pairs are grouped; keys that are shared but not in both prefixes lie behind
     the end of the prefix that ends first, so its form's remaining mass bounds them. Pairs whose bound is
-    too small are dropped before any bag is met.
+    too small are dropped before any bag is met. The join is on the key, the kind and the band of sizes, so
+    forms of all sizes that share a key don't meet.
     """
     order = unsigned_order(F.col("fp"), dict(bag.dtypes)["fp"])
     own = Window.partitionBy("form_id")
-    keys = prefix_keys(bag, threshold).withColumns({"rest": F.col("bag_size") - F.sum("cnt").over(own), "end": F.max(F.struct("df", order.alias("o"))).over(own)}).drop("bag_size", "df").join(remaining, "form_id")
-    side = lambda p: keys.select(*(F.col(c).alias(f"{p}_{c}") for c in ("form_id", "fp", "kind", "bag_size", "position", "cnt", "rest", "end")))
+    keys = prefix_keys(bag, threshold, keep).withColumns({"rest": F.col("bag_size") - F.sum("cnt").over(own), "end": F.max(F.struct("df", order.alias("o"))).over(own)}).drop("bag_size", "df").join(remaining, "form_id")
+    keys = keys.withColumns({"band": size_band(F.col("bag_size"), threshold), "top": size_band(F.col("bag_size") / F.lit(float(threshold)) + 1 if 0 < threshold < 1 else F.col("bag_size") + int(threshold > 0), threshold)})
+    side = lambda p: keys.select(*(F.col(c).alias(f"{p}_{c}") for c in ("form_id", "fp", "kind", "bag_size", "position", "cnt", "rest", "end", "band", "top")))
     l_size, r_size = F.col("l_bag_size"), F.col("r_bag_size")
     earlier = (l_size < r_size) | ((l_size == r_size) & (F.col("l_form_id") < F.col("r_form_id")))
-    pairs = side("l").join(side("r"), (F.col("l_fp") == F.col("r_fp")) & (F.col("l_kind") == F.col("r_kind")) & earlier & within_window(l_size, r_size, threshold))
+    small = side("l").withColumn("l_band", F.explode(F.sequence("l_band", "l_top")))
+    pairs = small.join(side("r"), (F.col("l_fp") == F.col("r_fp")) & (F.col("l_kind") == F.col("r_kind")) & (F.col("l_band") == F.col("r_band")) & earlier & within_window(l_size, r_size, threshold))
     behind = F.when(F.col("l_end") <= F.col("r_end"), F.col("l_rest")).otherwise(F.col("r_rest"))
     found = pairs.groupBy(F.col("l_form_id").alias("left_id"), l_size.alias("left_size"), F.col("r_form_id").alias("right_id"), r_size.alias("right_size")).agg(
         F.min("l_position").alias("tie_rank"), F.sum(F.least("l_cnt", "r_cnt")).alias("shared"), F.max(behind).alias("behind")
@@ -61,5 +72,5 @@ def near_miss_edges(remaining: DataFrame, bag: DataFrame, threshold: float, keep
     The bags that are left are met several times; ``keep`` may materialise them.
     """
     own = keep(bag.join(remaining.select("form_id"), "form_id", "left_semi"))
-    found = scored(candidates(remaining, own, threshold), own)
+    found = scored(candidates(remaining, own, threshold, keep), own)
     return found.where((F.col("score") >= float(threshold)) & (F.col("score") < 1.0)).select("left_id", "left_size", "right_id", "right_size", "tie_rank", "score")

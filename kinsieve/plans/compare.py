@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import tier_for, type_rank
@@ -51,6 +52,16 @@ def findings(members: DataFrame) -> DataFrame:
     return members.groupBy("finding_key", "clone_type", "tier", "score").agg(F.array_sort(F.collect_list(item)).alias("members"))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with their place, from 1, in the order given: sorted by ranges, counted by partition, numbered from the partitions' offsets."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = keep(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    return placed.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_before")
+
+
 def ordered(found: DataFrame) -> DataFrame:
     """Findings by score, best first, then by the first member's displayed path, line and name, type-1 before type-2."""
     first = F.get("members", F.lit(0))

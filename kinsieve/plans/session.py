@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where none is set (tests), a temporary folder."""
+    """spark.checkpoint.dir; only where none is set and all runs in one process (tests), a temporary folder."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not (context.master or "").startswith("local") or (context.master or "").startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kinsieve-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 

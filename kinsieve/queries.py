@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import predicates as P
-from .functions.labels import classify, tier_for
+from .functions.labels import classify, tier_for, type_rank
 from .operators import bags, cluster, exact, near
 from .operators.components import connected_components
-from .plans.compare import compare, findings
+from .plans.compare import compare, findings, numbered
+from .operators.normalize.tree import FNV_OFFSET, FNV_PRIME
 from .plans.report import findings_json, summary
 from .plans.session import materialized
 from .sources.tables import ascii_tokens, history_forms, text_forms
@@ -105,16 +106,39 @@ def near_sql(bag: str, t: float, kind: str = "'production'") -> str:
     return f"{bag}, {keys_sql(kind)}, {GROUPS}, {REST}, {edges_sql(t)}"
 
 
-#: Members of findings where all components are closed, as those of documents here are.
-DOC_FINDINGS = f"""{near_sql(DOC_BAG, T)}, {COMPONENTS}, {STATS},
+def greedy_sql(t: float) -> str:
+    """Exclusive pairs of open components, taken one by one."""
+    return f"""{PREFIX.format(b='rbag', t=t)},
+ties AS (SELECT e.left_id, e.right_id, min(p.position) AS tie FROM edges e JOIN prefix p ON p.form_id = e.left_id JOIN prefix q ON q.form_id = e.right_id AND q.fp = p.fp GROUP BY ALL),
+opened AS (SELECT e.*, t.tie, row_number() OVER (ORDER BY e.score DESC, e.ls, e.left_id, t.tie, e.rs, e.right_id) AS rn FROM edges e JOIN ties t USING (left_id, right_id) JOIN comp c ON c.form_id = e.left_id JOIN stats s ON s.component = c.component AND NOT s.closed),
+walk(rn, used, taken) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL
+  SELECT o.rn, CASE WHEN list_contains(w.used, o.left_id) OR list_contains(w.used, o.right_id) THEN w.used ELSE list_concat(w.used, [o.left_id, o.right_id]) END, NOT (list_contains(w.used, o.left_id) OR list_contains(w.used, o.right_id)) FROM walk w JOIN opened o ON o.rn = w.rn + 1)"""
+
+
+PREFIX = """dfs AS (SELECT fp, count(*)::BIGINT AS df FROM {b} GROUP BY ALL),
+ranked AS (SELECT form_id, fp, cnt, df, row_number() OVER w - 1 AS position, coalesce(sum(cnt) OVER (PARTITION BY form_id ORDER BY df, fp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_, sum(cnt) OVER (PARTITION BY form_id) AS n
+  FROM {b} JOIN dfs USING (fp) WINDOW w AS (PARTITION BY form_id ORDER BY df, fp)),
+prefix AS (SELECT form_id, fp, cnt, df, position::BIGINT AS position, n::BIGINT AS bag_size FROM ranked WHERE before_ < n - ceil(n * {t}::DOUBLE - 1e-9) + 1)"""
+
+
+def findings_sql(bag: str, t: float, lines: str) -> str:
+    """Members of all findings; ``lines`` has form_id, path and end_line of each form."""
+    return f"""{near_sql(bag, t)}, {COMPONENTS}, {STATS}, {greedy_sql(t)},
 members AS (
   SELECT 'type_1' AS clone_type, 1.0::DOUBLE AS score, hash((k.bag_key, k.trace)) AS g, k.form_id FROM keys k JOIN traces t ON t.bag_key = k.bag_key AND t.trace = k.trace AND t.n >= 2
   UNION ALL SELECT 'type_2', 1.0::DOUBLE, hash(k.bag_key), k.form_id FROM keys k JOIN groups g ON g.bag_key = k.bag_key AND g.leftover = 1
-  UNION ALL SELECT 'type_3', s.score, c.component::UBIGINT, c.form_id FROM comp c JOIN stats s ON s.component = c.component AND s.closed),
-lines AS (SELECT doc_id AS form_id, 'documents/' || doc_id AS path, len(string_split(coalesce(text, ''), chr(10)))::INTEGER AS end_line FROM documents),
+  UNION ALL SELECT 'type_3', s.score, hash(c.component), c.form_id FROM comp c JOIN stats s ON s.component = c.component AND s.closed
+  UNION ALL SELECT 'type_3', o.score, hash((o.left_id, o.right_id)), unnest([o.left_id, o.right_id]) FROM walk w JOIN opened o USING (rn) WHERE w.taken),
+lines AS ({lines}),
 flat AS (SELECT m.clone_type, m.score, m.g, m.form_id, l.path, l.end_line FROM members m JOIN lines l USING (form_id))"""
 
 
+DOC_FINDINGS = findings_sql(DOC_BAG, T, "SELECT doc_id AS form_id, 'documents/' || doc_id AS path, len(string_split(coalesce(text, ''), chr(10)))::INTEGER AS end_line FROM documents")
+EVENT_FINDINGS = findings_sql(EVENT_BAG, 0.95, "SELECT user_id AS form_id, 'users/' || user_id AS path, count(*)::INTEGER AS end_line FROM events GROUP BY ALL")
+MEMBER_SEQ = "row_number() OVER (PARTITION BY clone_type, g ORDER BY string_split(path, '/'), form_id)"
+FINDING_ROWS = f"SELECT clone_type, {TIER} AS tier, score, ({MEMBER_SEQ})::INTEGER AS member_seq, form_id, path, 1::INTEGER AS start_line, end_line, form_id::VARCHAR AS name FROM flat"
+
+
 # -- bags
 
 
@@ -150,12 +174,6 @@ def prefix_mass_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.bag_sizes(docs(spark, sf_dir)[1]).withColumn("mass", bags.prefix_mass(F.col("bag_size"), T))
 
 
-PREFIX = """dfs AS (SELECT fp, count(*)::BIGINT AS df FROM {b} GROUP BY ALL),
-ranked AS (SELECT form_id, fp, cnt, df, row_number() OVER w - 1 AS position, coalesce(sum(cnt) OVER (PARTITION BY form_id ORDER BY df, fp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_, sum(cnt) OVER (PARTITION BY form_id) AS n
-  FROM {b} JOIN dfs USING (fp) WINDOW w AS (PARTITION BY form_id ORDER BY df, fp)),
-prefix AS (SELECT form_id, fp, cnt, df, position::BIGINT AS position, n::BIGINT AS bag_size FROM ranked WHERE before_ < n - ceil(n * {t}::DOUBLE - 1e-9) + 1)"""
-
-
 @query(f"WITH {DOC_BAG}, {PREFIX.format(b='bag', t=T)} SELECT * FROM prefix")
 def prefix_keys_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.prefix_keys(docs(spark, sf_dir)[1], T)
@@ -208,6 +226,16 @@ def type2_groups_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return type_groups(*orders(spark, sf_dir), "type_2")
 
 
+ROLE_BAG = """forms AS (SELECT conv_id AS id, list(text ORDER BY turn, text) AS trace FROM conversations GROUP BY ALL),
+bag AS (SELECT conv_id AS form_id, role AS fp, count(*)::BIGINT AS cnt FROM conversations WHERE role IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {ROLE_BAG}, {keys_sql()}, {GROUPS} {TYPE2_SQL}")
+def type2_groups_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with the same turns of each role, whatever was said."""
+    return type_groups(*history_forms(table(spark, sf_dir, "conversations").where("role is not null"), "conv_id", "role", ["turn", "text"], ["text"], "conversations"), "type_2")
+
+
 @query(f"WITH {DOC_BAG}, {keys_sql()}, {GROUPS} SELECT k.form_id FROM keys k JOIN groups g ON g.bag_key = k.bag_key AND g.kind = k.kind")
 def claimed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.claimed(exact.form_keys(*docs(spark, sf_dir)))
@@ -244,9 +272,9 @@ def near_miss_edges_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(edges_of(*suppliers(spark, sf_dir), 0.1))
 
 
-@query(f"WITH {near_sql(CONV_BAG, 0.7)} SELECT left_id, right_id, score FROM edges")
+@query(f"WITH {near_sql(CONV_BAG, 0.25)} SELECT left_id, right_id, score FROM edges")
 def near_miss_edges_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(edges_of(*conversations(spark, sf_dir), 0.7))
+    return shown(edges_of(*conversations(spark, sf_dir), 0.25))
 
 
 @query(
@@ -291,14 +319,7 @@ def open_components_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats_of(edges_of(*events(spark, sf_dir), T)).where("not closed").drop("closed")
 
 
-GREEDY = f"""{PREFIX.format(b='rbag', t=T)},
-ties AS (SELECT e.left_id, e.right_id, min(p.position) AS tie FROM edges e JOIN prefix p ON p.form_id = e.left_id JOIN prefix q ON q.form_id = e.right_id AND q.fp = p.fp GROUP BY ALL),
-opened AS (SELECT e.*, t.tie, row_number() OVER (ORDER BY e.score DESC, e.ls, e.left_id, t.tie, e.rs, e.right_id) AS rn FROM edges e JOIN ties t USING (left_id, right_id) JOIN comp c ON c.form_id = e.left_id JOIN stats s ON s.component = c.component AND NOT s.closed),
-walk(rn, used, taken) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL
-  SELECT o.rn, CASE WHEN list_contains(w.used, o.left_id) OR list_contains(w.used, o.right_id) THEN w.used ELSE list_concat(w.used, [o.left_id, o.right_id]) END, NOT (list_contains(w.used, o.left_id) OR list_contains(w.used, o.right_id)) FROM walk w JOIN opened o ON o.rn = w.rn + 1)"""
-
-
-@query(f"WITH RECURSIVE {near_sql(EVENT_BAG, T)}, {COMPONENTS}, {STATS}, {GREEDY} SELECT o.left_id, o.right_id, o.score FROM walk w JOIN opened o USING (rn) WHERE w.taken")
+@query(f"WITH RECURSIVE {near_sql(EVENT_BAG, T)}, {COMPONENTS}, {STATS}, {greedy_sql(T)} SELECT o.left_id, o.right_id, o.score FROM walk w JOIN opened o USING (rn) WHERE w.taken")
 def greedy_pairs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = materialized(cluster.with_components(edges_of(*events(spark, sf_dir), T), materialized))
     return cluster.greedy_pairs(parts, cluster.component_stats(parts), materialized)
@@ -311,7 +332,7 @@ def members_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(*docs(spark, sf_dir), T)
 
 
-@query(f"WITH RECURSIVE {DOC_FINDINGS} SELECT clone_type, {TIER} AS tier, score, (row_number() OVER (PARTITION BY clone_type, g ORDER BY string_split(path, '/'), form_id))::INTEGER AS member_seq, form_id, path, 1::INTEGER AS start_line, end_line, form_id::VARCHAR AS name FROM flat")
+@query(f"WITH RECURSIVE {DOC_FINDINGS} {FINDING_ROWS}")
 def findings_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members_of(spark, sf_dir).drop("finding_key")
 
@@ -320,12 +341,9 @@ def findings_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH RECURSIVE {DOC_FINDINGS}, heads AS (SELECT clone_type, score, g, count(*)::BIGINT AS members, min(path) AS first_path FROM flat GROUP BY ALL) SELECT (row_number() OVER (ORDER BY score DESC, first_path, CASE clone_type WHEN 'type_1' THEN 1 WHEN 'type_2' THEN 2 ELSE 3 END))::INTEGER AS place, clone_type, score, members, first_path FROM heads"
 )
 def findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The places of findings in a report: a report is one list, so its order is one partition's work."""
-    from pyspark.sql import Window
-
+    """The places of findings in a report."""
     found = findings(members_of(spark, sf_dir)).select("clone_type", "score", F.size("members").cast("bigint").alias("members"), F.get("members", F.lit(0))["path"].alias("first_path"))
-    rank = F.when(F.col("clone_type") == "type_1", 1).when(F.col("clone_type") == "type_2", 2).otherwise(3)
-    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "first_path", rank)))
+    return numbered(found, [F.desc("score"), F.asc("first_path"), F.asc(type_rank(F.col("clone_type")))], "place", materialized)
 
 
 @query(
@@ -345,12 +363,15 @@ def tier_counts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.groupBy(tier_for(F.col("score")).alias("tier"), classify(F.col("score"), F.lit(False)).alias("clone_type")).agg(F.count("*").alias("edges"))
 
 
-@query()
+@query(f"WITH RECURSIVE {EVENT_FINDINGS} {FINDING_ROWS}")
 def findings_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(*events(spark, sf_dir), 0.95).drop("finding_key")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {DOC_FINDINGS}, seq AS (SELECT *, {MEMBER_SEQ} AS member_seq FROM flat)
+SELECT '{{"clone_type":"' || clone_type || '","tier":"' || {TIER} || '","score":' || score::VARCHAR || ',"members":[' || string_agg('{{"path":"' || path || '","start_line":1,"end_line":' || end_line || ',"name":"' || form_id || '"}}', ',' ORDER BY member_seq) || ']}}' AS finding FROM seq GROUP BY clone_type, score, g"""
+)
 def report_json_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings_json(findings(members_of(spark, sf_dir)))
 
@@ -431,7 +452,9 @@ def findings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(*page_forms(spark, sf_dir), 0.95).drop("finding_key")
 
 
-@query()
+@query(
+    f"WITH {DOC_BAG}, t AS (SELECT DISTINCT fp, list_concat(list_transform(string_split(fp, ''), lambda c: ascii(c)::HUGEINT), [0::HUGEINT]) AS bytes FROM bag), d AS (SELECT fp, list_reduce(list_concat([{FNV_OFFSET}::HUGEINT], bytes), lambda h, b: (xor(h, b) * {FNV_PRIME}) % 18446744073709551616) AS h FROM t) SELECT fp, CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END::BIGINT AS digest FROM d"
+)
 def fnv_digests_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The FNV digest of every distinct lower-case token of documents, as a leaf of a tree."""
     from collections.abc import Iterator

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.bags import build_bag
+from ..operators.bags import bag_of_array, build_bag
 from ..schema import PRODUCTION
 
 TOKEN = "[A-Za-z0-9]+"
@@ -17,10 +17,10 @@ def ascii_tokens(text: Column) -> Column:
 
 
 def text_forms(rows: DataFrame, id_column: str, text_column: str, folder: str, kind: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(forms, bag) of texts: fingerprints are lower-case tokens, the trace is the tokens as spelled."""
+    """(forms, bag) of texts, a row each: fingerprints are lower-case tokens, the trace is the tokens as spelled."""
     tokens = rows.select(F.col(id_column).cast("bigint").alias("id"), ascii_tokens(F.col(text_column)).alias("ident_trace"), F.size(F.split(F.coalesce(F.col(text_column), F.lit("")), "\n")).alias("end_line"), (kind if kind is not None else F.lit(PRODUCTION)).alias("kind"))
     forms = tokens.select("id", F.concat(F.lit(f"{folder}/"), F.col("id").cast("string")).alias("path"), F.col("id").cast("string").alias("name"), F.lit(1).alias("start_line"), "end_line", "kind", F.size("ident_trace").alias("node_count"), "ident_trace")
-    bag = build_bag(tokens.select(F.col("id").alias("form_id"), F.explode("ident_trace").alias("t")).select("form_id", F.lower("t").alias("fp")))
+    bag = bag_of_array(tokens.select("id", F.transform("ident_trace", F.lower).alias("fps")), "id", "fps")
     return forms, bag
 
 

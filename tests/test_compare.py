@@ -149,3 +149,38 @@ def test_findings_in_order(spark):
 
 def test_empty_tables(spark):
     assert compare(spark.createDataFrame([], FORMS), spark.createDataFrame([], BAG), 0.85).count() == 0
+
+
+def test_bag_of_array_counts_within_rows(spark):
+    from kinsieve.operators.bags import bag_of_array, build_bag
+
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["x"]), (4, None), (5, ["q"] * 500 + ["r"])], "id bigint, fps array<string>")
+    want = build_bag(rows.selectExpr("id as form_id", "explode(fps) as fp"))
+    assert sorted(bag_of_array(rows, "id", "fps").collect()) == sorted(want.collect())
+
+
+def test_numbered_places_rows_by_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from kinsieve.plans.compare import numbered
+
+    rows = spark.range(500).select((F.col("id") * 37 % 101).alias("x"), F.col("id")).repartition(7)
+    got = numbered(rows, [F.desc("x"), F.asc("id")], "place", materialized).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 501))
+    assert [(-r.x, r.id) for r in got] == sorted((-r.x, r.id) for r in got)
+    assert numbered(rows.limit(0), [F.desc("x")], "place", materialized).collect() == []
+
+
+def test_bands_hold_every_window(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from kinsieve.operators.near import size_band
+
+    for t in (0.1, 0.5, 0.85, 0.99):
+        sizes = spark.range(1, 400).select(F.col("id"), size_band(F.col("id"), t).alias("band"), size_band(F.col("id") / F.lit(t) + 1, t).alias("top")).collect()
+        band = {r.id: r.band for r in sizes}
+        for r in sizes:
+            for large in range(r.id, min(399, math.floor(r.id / t + 1e-9)) + 1):
+                assert r.band <= band[large] <= r.top
