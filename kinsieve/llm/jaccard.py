@@ -45,9 +45,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 42, 6
 STEP = 36
 TOLERANCE = 1e-7
-#: Bytes of sets and MinHash values in a block, and classes at most; a task holds two blocks.
-BLOCK_BYTES = 6_000_000
-BLOCK = 1536
+#: Bytes of sets and MinHash values in a block; a task holds two blocks.
+BLOCK_BYTES = 12_000_000
+#: Classes in a block: as many as a shuffle's partition has, between these.
+BLOCK, BLOCK_MOST = 512, 2048
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -200,7 +201,9 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = entries.join(buckets.hint("merge"), "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = keep(connected_components(stars, keep))
     members = groups.join(nodes.select("node", "key", "copies", "n"), "node")
-    sizes = keep(members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n") * 8 + BANDS * ROWS * 4) / BLOCK_BYTES)).cast("int").alias("blocks")))
+    spark = docs.sparkSession
+    each = min(max(BLOCK, BLOCK_MOST), max(BLOCK, groups.count() // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sizes = keep(members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / each, F.sum(F.col("n") * 8 + BANDS * ROWS * 4) / BLOCK_BYTES)).cast("int").alias("blocks")))
     wanted = keep(members.drop("n").join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     # the sets of those classes' least documents, once
     members = _sets(docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), True)
