@@ -84,16 +84,21 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.concatenate(hashes)), np.diff(np.searchsorted(at, stop), prepend=0)
 
 
+def runs(w: np.ndarray) -> np.ndarray:
+    """The hash of each run of N of the words."""
+    h = np.full(max(len(w) - N + 1, 0), N, np.uint64)
+    for k in range(N):
+        h = h * _P + w[k : len(w) - N + 1 + k] if len(h) else h
+    return mixed(h)
+
+
 def sequences(texts: list[str]) -> list[np.ndarray]:
     """For each text a 64-bit hash of each run of five words, in order. Texts of one to four words are one run; texts without words have none."""
     if not texts:
         return []
     w, n = words(texts)
     start = np.cumsum(n) - n
-    h = np.full(max(len(w) - N + 1, 0), N, np.uint64)
-    for k in range(N):
-        h = h * _P + w[k : len(w) - N + 1 + k] if len(h) else h
-    h = mixed(h)
+    h = runs(w)
     out = []
     for a, m in zip(start.tolist(), n.tolist(), strict=True):
         if m >= N:
