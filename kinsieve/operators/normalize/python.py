@@ -113,7 +113,7 @@ class Extractor:
                 self.walk(c, owner, bound)
 
     def form(self, name: str, body: list[ast.AST]) -> None:
-        start, end = body[0].lineno, body[-1].end_lineno or body[-1].lineno
+        start, end = min(x.lineno for x in (body[0], *getattr(body[0], "decorator_list", ()))), body[-1].end_lineno or body[-1].lineno
         if self.out.wants(start, end):
             e = Emitter()
             self.out.add(name, start, end, self.kind, branch("block", e.many(body)), e.names.trace)

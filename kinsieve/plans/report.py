@@ -74,3 +74,10 @@ def render_text(report: Report) -> str:
 def findings_json(found: DataFrame) -> DataFrame:
     """A JSON line for each finding, made by executors."""
     return found.select(F.to_json(F.struct("clone_type", "tier", "score", F.transform("members", lambda m: F.struct(m["path"].alias("path"), m["start_line"].alias("start_line"), m["end_line"].alias("end_line"), m["name"].alias("name"))).alias("members"))).alias("finding"))
+
+
+def findings_text(found: DataFrame) -> DataFrame:
+    """The lines of each finding in a text report, made by executors."""
+    member = lambda m: F.format_string("    %s:%d-%d %s", m["path"], m["start_line"], m["end_line"], m["name"])
+    head = F.format_string("- %s score=%.4f %s", "clone_type", "score", "tier")
+    return found.select(F.array_join(F.concat(F.array(head), F.transform("members", member)), "\n").alias("text"))

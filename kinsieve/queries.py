@@ -471,8 +471,12 @@ def fnv_digests_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import source_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import source_queries  # noqa: F401
+
     return dict(SQL)
