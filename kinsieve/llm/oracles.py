@@ -61,8 +61,8 @@ grams AS (SELECT doc_id, i - 1 AS pos, array_to_string(words[i:i + {licenses.K -
 hits AS (SELECT doc_id, t_id, label, exact, n_grams, t_pos, pos, pos - t_pos AS diagonal FROM grams JOIN tpl USING (gram)),
 steps AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t_id ORDER BY diagonal) > {licenses.NEIGHBOURS} THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT doc_id, t_id, exact, diagonal FROM hits)),
 runs AS (SELECT doc_id, t_id, diagonal, sum(new) OVER (PARTITION BY doc_id, t_id ORDER BY diagonal) AS run FROM steps),
-copies AS (SELECT h.doc_id, h.t_id, r.run, any_value(label) AS label, any_value(exact) AS exact, min(h.diagonal) AS diagonal, count(DISTINCT t_pos) AS found, any_value(n_grams) AS n_grams, min(pos) AS lo, max(pos) + {licenses.K} AS end_ FROM hits h JOIN runs r USING (doc_id, t_id, diagonal) GROUP BY h.doc_id, h.t_id, r.run),
-good AS (SELECT *, found::DOUBLE / n_grams::DOUBLE AS part FROM copies WHERE CASE WHEN exact THEN found = n_grams ELSE found::DOUBLE / n_grams::DOUBLE >= {licenses.COVERAGE} END),
+copies AS (SELECT h.doc_id, h.t_id, r.run, any_value(label) AS label, any_value(exact) AS exact, min(h.diagonal) AS diagonal, count(DISTINCT t_pos) AS found, any_value(n_grams) AS n_grams, min(pos) AS lo, max(pos) + {licenses.K} AS end_, len(list_distinct(flatten(list(range(pos, pos + {licenses.K}))))) AS agreed FROM hits h JOIN runs r USING (doc_id, t_id, diagonal) GROUP BY h.doc_id, h.t_id, r.run),
+good AS (SELECT *, found::DOUBLE / n_grams::DOUBLE AS part FROM copies WHERE CASE WHEN exact THEN found = n_grams ELSE found::DOUBLE / n_grams::DOUBLE >= {licenses.COVERAGE} AND agreed >= {licenses.COVERAGE} * (end_ - lo) END),
 by_doc AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(diagonal) FILTER (exact) AS first_word, max(diagonal) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score,
   array_to_string(list_sort(list_distinct(list(lpad(lo::VARCHAR, 9, '0') || ':' || end_ || ':' || label))), ',') AS spans FROM good GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score, coalesce(spans, '') AS spans FROM w LEFT JOIN by_doc USING (doc_id)"""

@@ -38,6 +38,21 @@ def test_templates_with_changed_words(spark):
     assert rows[4].spans.startswith("000000030:")
 
 
+def test_scattered_hits_are_no_copy(spark):
+    """Half of a template's words, each three on a neighbouring diagonal and far from the next, with other words between them."""
+    text = next(t for t, label in licenses.TEMPLATES if label == "mit-whole")
+    w = text.split(" ")
+    scattered = " ".join(" ".join(w[i : i + 4]) + " " + " ".join(f"z{i}{k}" for k in range(9)) for i in range(0, len(w), 6))
+    labels = [set(filter(None, r.labels.split(","))) for r in sorted(licenses.scan(docs(spark, [scattered, text])).collect(), key=lambda r: r.doc_id)]
+    assert "mit-whole" not in labels[0] and "mit-whole" in labels[1]
+
+
+def test_equal_rows_come_back_as_often(spark):
+    df = spark.createDataFrame([(1, "cc by nc")] * 3 + [(1, "cc by"), (None, None), (None, None), (2, "cc by nc")], "doc_id bigint, text string").repartition(5)
+    got = sorted((str(r.doc_id), r.n_words, r.n_base) for r in licenses.scan(df).collect())
+    assert got == [("1", 2, 0), ("1", 3, 1), ("1", 3, 1), ("1", 3, 1), ("2", 3, 1), ("None", 0, 0), ("None", 0, 0)]
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).collect() == []
 
