@@ -304,6 +304,77 @@ def ts_function(row: list[Token], i: int, in_class: bool) -> Function | None:
     return Function(None, row[b:e], row[b].line, row[e - 1].end, first, e, False)
 
 
+def _type_end(row: list[Token], at: int) -> int:
+    """The end of a Rust type that starts at ``at``."""
+    i = at
+    while i < len(row):
+        t = row[i]
+        if t.text in ("&", "&&", "*", "'_", "dyn", "impl", "mut", "const", "!"):
+            i += 1
+        elif t.text == "<":
+            i = _skip_angles(row, i)
+            if i < len(row) and row[i].text == "::":
+                i += 1
+                continue
+            return i
+        elif t.group is not None and t.text != "{":
+            return i + 1
+        elif t.kind in ("name", "keyword"):
+            i += 1
+            if i < len(row) and row[i].text == "::":
+                i += 1
+                continue
+            if i < len(row) and row[i].text == "<" and i + 1 < len(row) and _skip_angles(row, i) < len(row) + 1 and t.text[:1].isupper():
+                return _skip_angles(row, i)
+            return i
+        else:
+            return i
+    return i
+
+
+def rust_reduced(row: list[Token]) -> list[Token]:
+    """The row without what doesn't tell Rust bodies apart: labels of loops, types of casts and of let, turbofish, guards of match arms, what a let-else does otherwise."""
+    out: list[Token] = []
+    i, let, head = 0, False, 0  # head: where the statement or arm starts in ``out``
+    text = lambda k: row[k].text if k < len(row) else ""
+    while i < len(row):
+        t = row[i]
+        if t.text in (";", ",") and t.kind == "op":
+            let, head = False, len(out) + 1
+        elif t.text == "let" and t.kind == "keyword" and len(out) == head:
+            let = True
+        if t.text == "'_" and ((text(i + 1) == ":" and text(i + 2) in ("loop", "while", "for", "{")) or (out and out[-1].text in ("break", "continue"))):
+            i += 2 if text(i + 1) == ":" else 1
+        elif t.text == "as" and t.kind == "keyword":
+            out.append(t)
+            i = max(_type_end(row, i + 1), i + 1)
+        elif t.text == "::" and text(i + 1) == "<":
+            i = _skip_angles(row, i + 1)
+        elif let and t.text == ":" and t.kind == "op":
+            out.append(t)
+            i += 1
+            while i < len(row) and row[i].text not in ("=", ";"):
+                i = _skip_angles(row, i) if row[i].text == "<" else i + 1
+            let = False
+        elif t.text == "else" and let and text(i + 1) == "{" and out[-1].text != "{":
+            i += 2
+        elif t.text == "if" and len(out) > head and out[-1].text not in ("=>", "else", "=", "return"):
+            k = i + 1
+            while k < len(row) and row[k].text not in ("=>", "{", ",", ";"):
+                k += 1
+            if text(k) == "=>":
+                i = k
+            else:
+                out.append(t)
+                i += 1
+        else:
+            out.append(t)
+            i += 1
+            if t.group is not None and t.text == "{":
+                let, head = False if text(i) != "else" else let, len(out)
+    return out
+
+
 class Extractor:
     STUBS = {"rs": "closure", "go": "func_literal", "ts": "arrow_function"}
     ANONYMOUS = {"rs": "$closure", "go": "$literal", "ts": "$arrow"}
@@ -409,6 +480,7 @@ class Extractor:
         now: list[Node] = []
         i = 0
         prev: Token | None = None
+        row = rust_reduced(row) if self.lang == "rs" else row
         while i < len(row):
             t = row[i]
             ended = self.lang != "rs" and prev is not None and t.after_newline and not (t.kind == "op" and t.text in (".", "?.", "&&", "||", "+", "?", ":", "=>")) and not (prev.kind == "op" and prev.text not in ("++", "--"))
@@ -448,6 +520,7 @@ class Extractor:
         parts: list[Node] = []
         now: list[Node] = []
         i = 0
+        row = rust_reduced(row) if self.lang == "rs" else row
         while i < len(row):
             t = row[i]
             f = self.function_at(row, i, False)

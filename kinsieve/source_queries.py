@@ -345,4 +345,24 @@ def _forms(lang: str) -> None:
 for _lang in SOURCES:
     _forms(_lang)
 
+#: What a Rust body may differ in: name of the case, two bodies, whether they count as equal.
+BODIES = (
+    ("label", "'a: loop { break 'a; }", "loop { break; }", True), ("turbofish", "v.collect::<Vec<_>>()", "v.collect()", True), ("turbofish of a path", "Vec::<u8>::new()", "Vec::new()", True),
+    ("type of a cast", "(x as u8) + 1", "(x as Vec<u16>) + 1", True), ("cast before a comparison", "x as usize < y", "x as u8 < y", True), ("cast", "x as u8", "x", False),
+    ("type of let", "let a: u8 = 1; a", "let a: Vec<Vec<u8>> = 1; a", True), ("let with a type", "let a: u8 = 1; a", "let a = 1; a", False), ("let else", "let Some(a) = f(x) else { return 0 }; a", "let Some(a) = f(x) else { panic() }; a", True),
+    ("guard", "match x { Some(y) if y > 3 => y, _ => 0 }", "match x { Some(y) => y, _ => 0 }", True), ("guard behind a block", "match x { 1 => { 2 } y if y > 3 => y, _ => 0 }", "match x { 1 => { 2 } y => y, _ => 0 }", True),
+    ("if of an arm", "match x { 1 => if y { 2 } else { 3 }, _ => 0 }", "match x { 1 => y, _ => 0 }", False), ("if", "let a = if x { 1 } else { 2 }; a", "let a = x; a", False), ("value of a literal", 'f("a")', 'f("b")', True),
+    ("kind of a literal", 'f("a")', "f(1)", False), ("name", "a + a", "b + b", True), ("names", "a + b", "b + b", False), ("operator", "a + b", "a - b", False),
+)
+
+
+@query(values("name, equal BOOLEAN", [(n, e) for n, _, _, e in BODIES]))
+def equal_bodies_rs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which differences between two Rust bodies count."""
+    rows = [(2 * k + side, f"{n}/{side}", f"fn f() {{ {body} }}") for k, (n, a, b, _) in enumerate(BODIES) for side, body in enumerate((a, b))]
+    bags = normalize_files(spark.createDataFrame(rows, "file_seq bigint, path string, source string"), "rs", 1, 1).where("seq = 0")
+    name = F.substring_index("path", "/", 1).alias("name")
+    return bags.groupBy(name).agg((F.count_distinct("fps", "cnts") == 1).alias("equal"))
+
+
 assert DEFAULT_EXCLUDES == tuple(STANDARD.split(","))
