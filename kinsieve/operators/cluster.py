@@ -64,14 +64,22 @@ def greedy_pairs(edges: DataFrame, stats: DataFrame, keep: Callable[[DataFrame],
     return small.union(_dominant(large.select("score", *ORDER), keep))
 
 
-def near_members(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def open_pairs(parts: DataFrame, stats: DataFrame, ties: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``greedy_pairs`` of edges without a tie_rank: ``ties`` adds it to those of open components."""
+    opened = keep(parts.join(stats.where("not closed").select("component"), "component", "left_semi"))
+    if opened.isEmpty():
+        return opened.select("left_id", "right_id", "score")
+    return greedy_pairs(keep(ties(opened)), stats, keep)
+
+
+def near_members(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], ties: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(finding_key, form_id, score) of near-miss findings: each closed component, and the pairs of open ones."""
     parts = keep(with_components(edges, keep))
-    stats = component_stats(parts)
+    stats = keep(component_stats(parts))
     nodes = parts.select("component", F.explode(F.array("left_id", "right_id")).alias("form_id")).distinct()
     key = lambda *c: F.sha2(F.concat_ws("|", F.lit("type_3"), *(x.cast("string") for x in c)), 256)
     closed = nodes.join(stats.where("closed").select("component", "score"), "component").select(key(F.col("component")).alias("finding_key"), "form_id", "score")
-    pairs = greedy_pairs(parts, stats, keep)
+    pairs = open_pairs(parts, stats, ties, keep)
     split = pairs.select(key(F.col("left_id"), F.col("right_id")).alias("finding_key"), F.explode(F.array("left_id", "right_id")).alias("form_id"), "score")
     return closed.union(split)
 

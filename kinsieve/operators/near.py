@@ -1,4 +1,4 @@
-"""Near misses: a multiset-Jaccard self-join, filtered by prefixes, sizes and what prefixes share."""
+"""Near misses: a multiset-Jaccard self-join by postings of parts, by prefixes or block by block."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bags import SLACK, prefix_keys, unsigned_order
+from ..schema import PRODUCTION
+from .bags import SLACK, bag_sizes, fingerprint_df, prefix_keys, unsigned_order
+from .dense import dense_scores, few_fingerprints
+from .packed import SPLIT_FROM, alike, bags_of, packed_bags, packed_candidates, packed_scores
 
 
 def jaccard_maps(left: Column, right: Column) -> Column:
@@ -66,11 +69,53 @@ def scored(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     return both.withColumn("score", jaccard_maps(F.col("lm"), F.col("rm"))).drop("lm", "rm")
 
 
-def near_miss_edges(remaining: DataFrame, bag: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Pairs with threshold <= score < 1. ``remaining`` has form_id, kind and bag_size; other forms' bags are left out.
+def near_miss_edges(remaining: DataFrame, bag: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame] = lambda df: df, packed: DataFrame | None = None) -> DataFrame:
+    """Pairs with threshold <= score < 1: left_id, left_size, right_id, right_size, score. ``remaining`` has form_id, kind and bag_size; other forms' bags are left out.
 
-    The bags that are left are met several times; ``keep`` may materialise them.
+    The bags that are left are met several times; ``keep`` may materialise them. ``packed`` has the packed bags
+    of all forms where they can be made inside their rows, and is then read as often instead. Bags of few fingerprints in all are
+    compared block by block, as any two share some; thresholds of SPLIT_FROM and more by postings of parts, lower ones by keys.
     """
-    own = keep(bag.join(remaining.select("form_id"), "form_id", "left_semi"))
-    found = scored(candidates(remaining, own, threshold, keep), own)
-    return found.where((F.col("score") >= float(threshold)) & (F.col("score") < 1.0)).select("left_id", "left_size", "right_id", "right_size", "tie_rank", "score")
+    t = float(threshold)
+    if packed is None:
+        own = keep(bag.join(remaining.select("form_id"), "form_id", "left_semi"))
+        if few_fingerprints(own):
+            found = dense_scores(own, remaining, t)
+        elif t >= SPLIT_FROM:
+            found = _by_parts(keep(packed_bags(own, remaining)), remaining, t, keep)
+        else:
+            found = scored(candidates(remaining, own, threshold, keep), own)
+    elif t >= SPLIT_FROM:
+        found = _by_parts(packed, remaining, t, keep)
+    else:
+        return near_miss_edges(remaining, bag, threshold, keep)
+    return found.where((F.col("score") >= t) & (F.col("score") < 1.0)).select("left_id", "left_size", "right_id", "right_size", "score")
+
+
+def all_pairs(bag: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All pairs that share a fingerprint, with their score, also equal bags; as ``near_miss_edges`` names them. All forms are of one kind."""
+    rest = keep(bag_sizes(bag).withColumn("kind", F.lit(PRODUCTION)))
+    found = dense_scores(bag, rest, 0.0) if few_fingerprints(bag) else scored(candidates(rest, bag, 0.0, keep), bag)
+    return found.select("left_id", "left_size", "right_id", "right_size", "score")
+
+
+def _by_parts(packed: DataFrame, remaining: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    ids = lambda c: remaining.select(F.col("form_id").alias(c))
+    both = lambda pairs: keep(pairs.select(F.explode(F.array("left_id", "right_id")).alias("form_id")).distinct())
+    pairs = keep(packed_candidates(packed.where("kind is not null"), threshold)).join(ids("left_id"), "left_id", "left_semi").join(ids("right_id"), "right_id", "left_semi")
+    bags = keep(bags_of(packed, both(pairs)))
+    return packed_scores(keep(alike(pairs, bags, threshold)), bags)
+
+
+def with_ties(edges: DataFrame, remaining: DataFrame, bag: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``edges`` with tie_rank: the place, in the left form, of the first fingerprint that both have, rarest first.
+
+    At a threshold above 0 that fingerprint lies in both prefixes.
+    """
+    own = bag.join(remaining.select("form_id"), "form_id", "left_semi")
+    order = unsigned_order(F.col("fp"), dict(bag.dtypes)["fp"])
+    ids = edges.select(F.explode(F.array("left_id", "right_id")).alias("form_id")).distinct()
+    some = keep(own.join(ids, "form_id", "left_semi").join(keep(fingerprint_df(own)), "fp").select("form_id", "fp", (F.row_number().over(Window.partitionBy("form_id").orderBy("df", order)) - 1).cast("bigint").alias("position")))
+    left = edges.select("left_id", "right_id").join(some.withColumnRenamed("form_id", "left_id"), "left_id")
+    ties = left.join(some.select(F.col("form_id").alias("right_id"), "fp"), ["right_id", "fp"]).groupBy("left_id", "right_id").agg(F.min("position").alias("tie_rank"))
+    return edges.join(ties, ["left_id", "right_id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -23,10 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def released(spark: SparkSession) -> None:
+    """Asks for the end of shuffle files that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it outlives lost executors, ends the lineage, and its size is known."""
     path = f"{shared_dir(df.sparkSession)}/kinsieve/core-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    released(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
