@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import PRODUCTION
 from .bags import SLACK, bag_sizes, fingerprint_df, prefix_keys, unsigned_order
 from .dense import dense_scores, few_fingerprints
-from .packed import SPLIT_FROM, alike, bags_of, packed_bags, packed_candidates, packed_scores
+from .packed import SPLIT_FROM, bags_of, packed_bags, packed_candidates, packed_scores
 
 
 def jaccard_maps(left: Column, right: Column) -> Column:
@@ -102,9 +102,9 @@ def all_pairs(bag: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df
 def _by_parts(packed: DataFrame, remaining: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     ids = lambda c: remaining.select(F.col("form_id").alias(c))
     both = lambda pairs: keep(pairs.select(F.explode(F.array("left_id", "right_id")).alias("form_id")).distinct())
-    pairs = keep(packed_candidates(packed.where("kind is not null"), threshold)).join(ids("left_id"), "left_id", "left_semi").join(ids("right_id"), "right_id", "left_semi")
+    pairs = keep(keep(packed_candidates(packed.where("kind is not null"), threshold)).join(ids("left_id"), "left_id", "left_semi").join(ids("right_id"), "right_id", "left_semi"))
     bags = keep(bags_of(packed, both(pairs)))
-    return packed_scores(keep(alike(pairs, bags, threshold)), bags)
+    return packed_scores(pairs, bags, keep)
 
 
 def with_ties(edges: DataFrame, remaining: DataFrame, bag: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

@@ -5,11 +5,11 @@ comes as (form_id, fp, cnt) once it is grouped.
 
 Candidates (for thresholds of at least SPLIT_FROM):
 
-1. A bag of n is split by its fingerprints' hashes into G parts, G a power of two that follows the size, so that a part has about PART
-   fingerprints. Where a pair reaches the threshold as a whole it does so in one part at least: else
+1. The n occurrences of a bag (a fingerprint and which time it is) are split by their hashes into G parts, G a power of two that follows n, so that
+   a part has about PART of them. Where a pair reaches the threshold as a whole it does so in one part at least: else
    the sums of minima would be below the threshold times the sums of maxima. G is that of the pair's smaller bag, so a bag
    near a power of two is split in both ways.
-2. Each part is posted under its rarest fingerprints, as many as the threshold asks for. Rarity is the count of a slot
+2. Each part is posted under its rarest occurrences, as many as the threshold asks for. Rarity is the count of a slot
    of a table of fixed size: any order will do, as long as it is one order.
 3. Postings carry 128 bits: the parity of the occurrences whose hash is that bit. Bits in which two parts
    differ are at most their occurrences that differ, so pairs that differ in too many are dropped where their postings meet, and
@@ -20,7 +20,7 @@ Candidates (for thresholds of at least SPLIT_FROM):
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -34,12 +34,13 @@ PACKED = "form_id bigint, kind string, bag_size bigint, bag_key string, trace_ke
 #: Thresholds below this one are left to the join on keys: bits tell little there.
 SPLIT_FROM = 0.5
 PART = 128
-SLOTS = 1 << 18
-#: Forms that a fingerprint may have before its postings are dealt to blocks.
+SLOTS = 1 << 20
+#: Forms that an occurrence may have before its postings are dealt to blocks.
 BLOCK = 20_000
 #: Postings that a task holds before it passes them on, and pairs that it looks at together.
 HELD = 500_000
 TOGETHER = 1_000_000
+ROW = "bucket int, n int, data binary"
 _PAIRS = "left_id bigint, left_size bigint, right_id bigint, right_size bigint"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -167,28 +168,34 @@ def packed_bags(bag: DataFrame, remaining: DataFrame) -> DataFrame:
 # -- postings
 
 
-def slots_of(fp: np.ndarray) -> np.ndarray:
-    return (mixed(fp ^ _P) % np.uint64(SLOTS)).astype(np.int64)
+def occurrences(fp: np.ndarray, cnt: np.ndarray) -> np.ndarray:
+    """A hash of each occurrence: of its fingerprint and which time it is."""
+    once = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+    return mixed(np.repeat(mixed(fp + _P), cnt) + once.astype(np.uint64) * _P)
+
+
+def slots_of(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(8)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def rarity(packed: DataFrame) -> np.ndarray:
-    """For each slot how many forms have a fingerprint of it, in steps of an eighth of a doubling; one byte each."""
-    width = 4096
+    """For each slot how many forms have an occurrence of it, in steps of an eighth of a doubling; one byte each."""
+    width = 16384
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                bags = [unpacked(x)[0] for x in b.column(0).slice(lo, 256).to_pylist()]
-                n += np.bincount(slots_of(np.concatenate(bags)), minlength=SLOTS)
+                fps, cnts = zip(*(unpacked(x) for x in b.column(0).slice(lo, 256).to_pylist()), strict=True)
+                n += np.bincount(slots_of(occurrences(np.concatenate(fps), np.concatenate(cnts).astype(np.int64))), minlength=SLOTS)
         if n.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS // width), pa.int32()), pa.array([squeezed(x.tobytes()) for x in n.reshape(-1, width)], pa.binary())], names=["chunk", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS // width), pa.int32()), pa.array([squeezed(x.astype(np.uint32).tobytes()) for x in n.reshape(-1, width)], pa.binary())], names=["chunk", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(plain(data, 8 * width), np.int64)
+                x = np.frombuffer(plain(data, 4 * width), np.uint32).astype(np.int64)
                 sums[chunk] = sums[chunk] + x if chunk in sums else x
         if sums:
             steps = [np.ceil(8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
@@ -219,30 +226,24 @@ def postings(ids: np.ndarray, kinds: list[str], bag_keys: list[str], bags: list[
     m = n[doc]
     at = np.repeat((np.cumsum(n) - n)[doc] - (np.cumsum(m) - m), m) + np.arange(m.sum())
     fp, cnt, of = fp[at], cnt[at], np.repeat(np.arange(len(doc)), m)
-    h = mixed(fp + _P)
+    h, of = occurrences(fp, cnt), np.repeat(of, cnt)
+    steps = rare[slots_of(h)]
     part = (h >> np.uint64(44)) & ((np.uint64(1) << way.astype(np.uint64)) - np.uint64(1))[of]
-    steps = rare[slots_of(fp)]
     order = np.lexsort((h, steps, part, of))
-    fp, cnt, of, h, part, steps = (x[order] for x in (fp, cnt, of, h, part, steps))
+    of, h, part, steps = (x[order] for x in (of, h, part, steps))
     head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (part[1:] != part[:-1])))
-    width = np.diff(head, append=len(fp))
-    mass = np.add.reduceat(cnt, head)
-    once = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-    bit = mixed(np.repeat(h, cnt) + once.astype(np.uint64) * _P)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    second = (bit >> np.uint64(6)) & np.uint64(1) == 1
-    starts = (np.cumsum(cnt) - cnt)[head]
-    b0, b1 = (np.bitwise_xor.reduceat(np.where(x, one, np.uint64(0)), starts) for x in (~second, second))
-    before = np.cumsum(cnt) - cnt
-    before -= np.repeat(before[head], width)
+    mass = np.diff(head, append=len(h))
+    one = np.uint64(1) << (h & np.uint64(63))
+    second = (h >> np.uint64(6)) & np.uint64(1) == 1
+    b0, b1 = (np.bitwise_xor.reduceat(np.where(x, one, np.uint64(0)), head) for x in (~second, second))
     need = mass - np.ceil(mass * threshold - SLACK).astype(np.int64) + 1
-    seg = np.repeat(np.arange(len(head)), width)
-    keep = np.flatnonzero(before < need[seg])
+    seg = np.repeat(np.arange(len(head)), mass)
+    keep = np.flatnonzero(np.arange(len(h)) - np.repeat(head, mass) < need[seg])
     seg, of = seg[keep], of[keep]
     kind = np.array([int(digest(x.encode())[:15], 16) for x in kinds], np.uint64)
     bag = np.array([int(x[:16], 16) for x in bag_keys], np.uint64)
     d = doc[of]
-    key = mixed(fp[keep] ^ mixed(kind[d] + way[of].astype(np.uint64)))
+    key = mixed(h[keep] ^ mixed(kind[d] + way[of].astype(np.uint64)))
     rows = {"key": key, "id": ids[d], "size": size[d], "part": mass[seg].astype(np.int32), "bag": bag[d], "b0": b0[seg], "b1": b1[seg]}
     blocks = np.ceil(2 ** (steps[keep] / 8) / BLOCK).astype(np.int64)
     hot = np.flatnonzero(blocks > 1)
@@ -307,15 +308,40 @@ def met(rows: Rows, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
         lo = hi
 
 
-def _distinct(pairs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    cols = tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
-    order = np.lexsort((cols[2], cols[0]))
-    l, r = cols[0][order], cols[2][order]
-    return tuple(x[order[np.append(True, (l[1:] != l[:-1]) | (r[1:] != r[:-1]))]] for x in cols)
+def _distinct(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    head = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])) if len(left) else np.zeros(0, bool)
+    return left[head], right[head]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _column(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 8 * n * at).reshape(8, n).T).view(np.int64).ravel()
+
+
+def _pair_rows(left: np.ndarray, right: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Distinct pairs, packed, by the bucket of the left form."""
+    left, right = _distinct(left, right)
+    bucket = (mixed(left.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    left, right, bucket = left[order], right[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    data = [squeezed(_planes(np.diff(left[lo:hi], prepend=0)) + _planes(right[lo:hi])) for lo, hi in spans]
+    return pa.RecordBatch.from_arrays([pa.array([int(bucket[lo]) for lo, _ in spans], pa.int32()), pa.array([hi - lo for lo, hi in spans], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "n", "data"])
+
+
+def _pairs_read(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    held = [(plain(data, 16 * n), n) for n, data in parts]
+    return _distinct(np.concatenate([np.cumsum(_column(d, n, 0)) for d, n in held]), np.concatenate([_column(d, n, 1) for d, n in held]))
 
 
 def packed_candidates(packed: DataFrame, threshold: float) -> DataFrame:
-    """(left_id, left_size, right_id, right_size): pairs of unequal bags of one kind that may reach the threshold, each once."""
+    """(left_id, right_id): pairs of unequal bags of one kind that may reach the threshold, each once; left is the smaller by (size, id)."""
     rare = rarity(packed)
     buckets = max(256, 8 * int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -342,101 +368,93 @@ def packed_candidates(packed: DataFrame, threshold: float) -> DataFrame:
             yield from dealt(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[int, bytes]] = []
-        now, found = None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            cols = _distinct(found)
-            found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=[x.split(" ")[0] for x in _PAIRS.split(", ")])
-
-        def done() -> Iterator[pa.RecordBatch]:
-            for cols in met(_read(parts), threshold):
-                found.append(cols)
-                if sum(len(x[0]) for x in found) >= HELD:
-                    found[:] = [_distinct(found)]
-                    if len(found[0][0]) >= HELD // 2:
-                        yield from out()
-
-        for b in batches:
-            for bucket, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if now != bucket and parts:
-                    yield from done()
-                    parts = []
-                now = bucket
-                parts.append((n, data.as_py()))
-        if parts:
-            yield from done()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for parts in _by_bucket(batches):
+            for left, _, right, _ in met(_read(parts), threshold):
+                found.append((left, right))
+                n += len(left)
+                if n >= 2 * HELD:
+                    found[:] = [_distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+                    n = len(found[0][0])
+                    if n >= HELD:
+                        yield _pair_rows(*found.pop(), buckets)
+                        n = 0
         if found:
-            yield from out()
-
-    rows = packed.select("form_id", "kind", "bag_key", "bag").mapInArrow(post, "bucket int, n int, data binary")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, _PAIRS).distinct()
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    """Sum of minima over sum of maxima of two packed bags."""
-    (fa, ca), (fb, cb) = unpacked(a), unpacked(b)
-    at = np.minimum(np.searchsorted(fb, fa), max(len(fb) - 1, 0))
-    hit = np.flatnonzero(fb[at] == fa) if len(fb) else np.zeros(0, np.int64)
+            yield _pair_rows(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _by_bucket(batches):
+            left, right = _pairs_read(parts)
+            for lo in range(0, len(left), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 20_000], pa.int64()) for x in (left, right)], names=["left_id", "right_id"])
+
+    rows = packed.select("form_id", "kind", "bag_key", "bag").mapInArrow(post, ROW)
+    pairs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, ROW)
+    return pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(once, "left_id bigint, right_id bigint")
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+    parts: list[tuple[int, bytes]] = []
+    now = None
+    for b in batches:
+        for bucket, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if now != bucket and parts:
+                yield parts
+                parts = []
+            now = bucket
+            parts.append((n, data.as_py()))
+    if parts:
+        yield parts
+
+
+def jaccard(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> float:
+    """Sum of minima over sum of maxima of two bags: fingerprints, counts and size of each."""
+    (fa, ca, na), (fb, cb, nb) = a, b
+    at = np.minimum(np.searchsorted(fb, fa), len(fb) - 1)
+    hit = np.flatnonzero(fb[at] == fa)
     common = int(np.minimum(ca[hit], cb[at[hit]]).sum())
-    union = int(ca.sum()) + int(cb.sum()) - common
-    return common / union if union else 0.0
-
-
-def sketch(bag: bytes) -> bytes:
-    """The parity of occurrences by hash, about a bit for each; a power of two of bits, so that longer sketches fold into shorter ones."""
-    fp, cnt = unpacked(bag)
-    cnt = cnt.astype(np.int64)
-    n = int(cnt.sum())
-    bits = 1 << max(8, (n - 1).bit_length())
-    once = np.arange(n) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-    bit = mixed(np.repeat(mixed(fp + _P), cnt) + once.astype(np.uint64) * _P) % np.uint64(bits)
-    return np.packbits((np.bincount(bit.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def differing(a: bytes, b: bytes) -> int:
-    """At least so many occurrences of two sketched bags are only in one of them."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def _beside(pairs: DataFrame, forms: DataFrame, column: str) -> DataFrame:
-    """``pairs`` with a column of both forms. Merged on purpose: both sides grow with the data."""
-    side = lambda p: forms.select(F.col("form_id").alias(f"{p}_id"), F.col(column).alias(f"{p}_side")).hint("merge")
-    return pairs.join(side("left"), "left_id").join(side("right"), "right_id").select("left_id", "left_size", "right_id", "right_size", "left_side", "right_side")
-
+    return common / (na + nb - common)
 
-def alike(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sketches allow the threshold; ``bags`` has form_id and bag."""
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(x.as_py()) for x in b.column(1)], pa.binary())], names=["form_id", "sketch"])
-
-    loose = (1 - threshold) / (1 + threshold)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [differing(x.as_py(), y.as_py()) <= loose * (m.as_py() + n.as_py()) + 1e-6 for _, m, _, n, x, y in zip(*b.columns, strict=True)]
-            yield b.select(_PAIRS.replace(" bigint", "").split(", ")).filter(pa.array(ok, pa.bool_()))
+#: Pairs of a group that one task scores.
+GROUP = 20_000
 
-    return _beside(pairs, bags.select("form_id", "bag").mapInArrow(draw, "form_id bigint, sketch binary"), "sketch").mapInArrow(run, _PAIRS)
 
+def packed_scores(pairs: DataFrame, bags: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(left_id, left_size, right_id, right_size, score) of ``pairs``; ``bags`` has form_id and bag.
 
-def packed_scores(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """``pairs`` with the exact score; ``bags`` has form_id and bag."""
+    Pairs are grouped by the least form that their left one is paired with, so near copies of one another are in few groups, and a bag is sent
+    once for each group it is in, not for each pair. Groups of many pairs are cut by both forms.
+    """
+    ends = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).union(pairs.select(F.col("right_id").alias("a"), F.col("left_id").alias("b")))
+    label = keep(ends.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    named = keep(pairs.join(label.withColumnRenamed("a", "left_id"), "left_id"))
+    sizes = named.groupBy("label").agg(F.ceil(F.sqrt(F.count("*") / GROUP)).cast("int").alias("cuts"))
+    cut = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
+    grouped = keep(named.join(keep(sizes), "label").select(F.xxhash64("label", cut("left_id"), cut("right_id")).alias("grp"), "left_id", "right_id"))
+    there = grouped.select("grp", F.explode(F.array("left_id", "right_id")).alias("form_id")).distinct()
+    sent = there.join(bags.hint("merge"), "form_id").select("grp", F.col("form_id").alias("left_id"), F.lit(None).cast("bigint").alias("right_id"), "bag")
+    rows = sent.union(grouped.select("grp", "left_id", "right_id", F.lit(None).cast("binary").alias("bag")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        now, out = None, []
         for b in batches:
-            score = [jaccard(x.as_py(), y.as_py()) for x, y in zip(b.column(4), b.column(5), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(score, pa.float64())], names=[x.split(" ")[0] for x in f"{_PAIRS}, score".split(", ")])
+            for group, left, right, bag in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+                if group != now:
+                    now, held = group, {}
+                if right is None:
+                    fp, cnt = unpacked(bag.as_py())
+                    held[left] = fp, cnt, int(cnt.sum())
+                    continue
+                x, y = held[left], held[right]
+                out.append((left, x[2], right, y[2], jaccard(x, y)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.float64()), strict=True)], names=[x.split(" ")[0] for x in f"{_PAIRS}, score".split(", ")])
+                out = []
 
-    return _beside(pairs, bags, "bag").mapInArrow(run, f"{_PAIRS}, score double")
+    return rows.repartition("grp").sortWithinPartitions("grp", F.col("right_id").asc_nulls_first()).mapInArrow(run, f"{_PAIRS}, score double")
 
 
 #: Slots, a bit each, of the table that tells rows which are not asked for.
