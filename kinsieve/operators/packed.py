@@ -38,8 +38,8 @@ SLOTS = 1 << 20
 #: Forms that an occurrence may have before its postings are dealt to blocks.
 BLOCK = 20_000
 #: Postings that a task holds before it passes them on, and pairs that it looks at together.
-HELD = 500_000
-TOGETHER = 1_000_000
+HELD = 250_000
+TOGETHER = 250_000
 ROW = "bucket int, n int, data binary"
 _PAIRS = "left_id bigint, left_size bigint, right_id bigint, right_size bigint"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +29,31 @@ def text_forms(rows: DataFrame, id_column: str, text_column: str, folder: str, k
     return forms, bag
 
 
+def text_counts(rows: DataFrame, id_column: str, text_column: str, ids: DataFrame) -> DataFrame:
+    """(fp, df): in how many of the texts of ``ids`` a lower-case token is. Texts are counted inside their task, without bags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = re.compile(TOKEN)
+        n: Counter[str] = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words = list(n)
+            for lo in range(0, len(words), 20_000):
+                part = words[lo : lo + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([n[x] for x in part], pa.int64())], names=["fp", "n"])
+            n.clear()
+
+        for b in batches:
+            for text in b.column(0):
+                n.update({x.lower() for x in token.findall(text.as_py() or "")})
+                if len(n) > 500_000:
+                    yield from out()
+        yield from out()
+
+    own = rows.select(F.col(id_column).cast("bigint").alias("form_id"), F.col(text_column).cast("string").alias("text")).join(ids.select("form_id"), "form_id", "left_semi")
+    return own.select("text").mapInArrow(run, "fp string, n bigint").groupBy("fp").agg(F.sum("n").alias("df"))
+
+
 def history_forms(rows: DataFrame, id_column: str, fp_column: str, order: list[str], trace: list[str], folder: str, kind: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(forms, bag) of grouped rows: a form for each id, its rows' values as fingerprints, their sequence as the trace."""
     item = F.struct(*order, *(F.col(c).cast("string").alias(f"_t{k}") for k, c in enumerate(trace)))

@@ -107,3 +107,22 @@ def test_texts_end_their_tokens():
     spelled, lower, of = packed.tokens(pa.array(["skipped", "ab", "CD é9", None, "", "cd", "ab"]).slice(1))
     assert of.tolist() == [0, 1, 1, 4, 5]
     assert lower[1] == lower[3] and spelled[1] != spelled[3] and spelled[0] == spelled[4] and lower[0] == lower[4]
+
+
+def test_counts_of_texts_are_those_of_their_bags(spark):
+    from kinsieve.sources.tables import text_counts
+
+    rows = spark.createDataFrame(list(enumerate([*texts(random.Random(9), 30), None, "A a b"])), "id bigint, text string").repartition(3)
+    _, bag = text_forms(rows, "id", "text", "t")
+    ids = spark.range(0, 46, 2).withColumnRenamed("id", "form_id")
+    want = bags.fingerprint_df(bag.join(ids, "form_id", "left_semi"))
+    assert sorted(text_counts(rows, "id", "text", ids).collect()) == sorted(want.collect())
+
+
+def test_ties_are_ranked_where_they_decide(spark):
+    held = {1: "a b c d", 2: "a b c e", 3: "b c d e", 4: "z b"}
+    bag = spark.createDataFrame([(k, w, 1) for k, x in held.items() for w in x.split()], "form_id bigint, fp string, cnt bigint")
+    rest = spark.createDataFrame([(k,) for k in held], "form_id bigint")
+    edges = spark.createDataFrame([(1, 4, 2, 4, 0.6), (1, 4, 3, 4, 0.6), (2, 4, 3, 4, 0.6)], "left_id bigint, left_size bigint, right_id bigint, right_size bigint, score double")
+    got = {(r.left_id, r.right_id): r.tie_rank for r in near.with_ties(edges, rest, bag, materialized).collect()}
+    assert got == {(1, 2): 0, (1, 3): 1, (2, 3): 0}  # of 1: a and d are in two forms, c in three, b in all
