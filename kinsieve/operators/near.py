@@ -107,11 +107,11 @@ def _by_parts(packed: DataFrame, remaining: DataFrame, threshold: float, keep: C
     return packed_scores(pairs, bags, keep)
 
 
-def with_ties(edges: DataFrame, remaining: DataFrame, bag: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df, counts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def with_ties(edges: DataFrame, remaining: DataFrame, bag: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df, counts: Callable[[DataFrame], DataFrame] | None = None, bags: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``edges`` with tie_rank: the place, in the left form, of the first fingerprint that both have, rarest first; 0 where no other edge has its left form and score.
 
-    At a threshold above 0 that fingerprint lies in both prefixes. ``counts`` gives (fp, df) of the forms it is given, where
-    there is a shorter way than by their bags.
+    At a threshold above 0 that fingerprint lies in both prefixes. ``counts`` gives (fp, df) and ``bags`` the bags of
+    the forms they are given, where there is a shorter way than by all bags.
     """
     tied = keep(edges.withColumn("_n", F.count("*").over(Window.partitionBy("left_id", "score"))).where("_n > 1").drop("_n"))
     if tied.isEmpty():
@@ -120,7 +120,7 @@ def with_ties(edges: DataFrame, remaining: DataFrame, bag: DataFrame, keep: Call
     df = keep(counts(ids) if counts else fingerprint_df(bag.join(ids, "form_id", "left_semi")))
     order = unsigned_order(F.col("fp"), dict(bag.dtypes)["fp"])
     wanted = keep(tied.select(F.explode(F.array("left_id", "right_id")).alias("form_id")).distinct())
-    some = keep(bag.join(wanted, "form_id", "left_semi").join(df, "fp").select("form_id", "fp", (F.row_number().over(Window.partitionBy("form_id").orderBy("df", order)) - 1).cast("bigint").alias("position")))
+    some = keep((bags(wanted) if bags else bag.join(wanted, "form_id", "left_semi")).join(df, "fp").select("form_id", "fp", (F.row_number().over(Window.partitionBy("form_id").orderBy("df", order)) - 1).cast("bigint").alias("position")))
     left = tied.select("left_id", "right_id").join(some.withColumnRenamed("form_id", "left_id"), "left_id")
     ties = left.join(some.select(F.col("form_id").alias("right_id"), "fp"), ["right_id", "fp"]).groupBy("left_id", "right_id").agg(F.min("position").alias("tie_rank"))
     return edges.join(keep(ties), ["left_id", "right_id"], "left").withColumn("tie_rank", F.coalesce("tie_rank", F.lit(0).cast("bigint")))
