@@ -32,10 +32,12 @@ def released(spark: SparkSession) -> None:
 
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it outlives lost executors, ends the lineage, and its size is known."""
-    path = f"{shared_dir(df.sparkSession)}/kinsieve/core-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/kinsieve/core-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    released(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df  # the last reference to its shuffles, unless the caller keeps one
+    released(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()

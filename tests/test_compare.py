@@ -184,3 +184,22 @@ def test_bands_hold_every_window(spark):
         for r in sizes:
             for large in range(r.id, min(399, math.floor(r.id / t + 1e-9)) + 1):
                 assert r.band <= band[large] <= r.top
+
+
+def test_materialized_lets_go_of_what_it_wrote(spark, monkeypatch):
+    """A table that only its writing needs is free, with its shuffles, when garbage is collected after it was written."""
+    import gc
+    import weakref
+
+    from kinsieve.plans import session
+
+    kept, alive = [], []
+    monkeypatch.setattr(session, "released", lambda _: (gc.collect(), alive.extend(x() is not None for x in kept)))
+
+    def grouped():
+        df = spark.range(10).groupBy("id").count()
+        kept.append(weakref.ref(df))
+        return df
+
+    out = session.materialized(grouped())
+    assert alive == [False] and out.count() == 10
