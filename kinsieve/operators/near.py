@@ -1,4 +1,4 @@
-"""Near misses: a multiset-Jaccard self-join by postings of parts, by prefixes or block by block."""
+"""Near misses: a multiset-Jaccard self-join by postings of parts, by sketches, by prefixes or block by block."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from ..schema import PRODUCTION
 from .bags import SLACK, bag_sizes, fingerprint_df, prefix_keys, unsigned_order
 from .dense import dense_scores, few_fingerprints
 from .packed import SPLIT_FROM, bags_of, packed_bags, packed_candidates, packed_scores
+from .sketch import sketch_scores
 
 
 def jaccard_maps(left: Column, right: Column) -> Column:
@@ -74,7 +75,8 @@ def near_miss_edges(remaining: DataFrame, bag: DataFrame, threshold: float, keep
 
     The bags that are left are met several times; ``keep`` may materialise them. ``packed`` has the packed bags
     of all forms where they can be made inside their rows, and is then read as often instead. Bags of few fingerprints in all are
-    compared block by block, as any two share some; thresholds of SPLIT_FROM and more by postings of parts, lower ones by keys.
+    compared block by block, as any two share some; thresholds of SPLIT_FROM and more by postings of parts, lower ones by sketches
+    if there are packed bags, else by keys.
     """
     t = float(threshold)
     if packed is None:
@@ -87,6 +89,8 @@ def near_miss_edges(remaining: DataFrame, bag: DataFrame, threshold: float, keep
             found = scored(candidates(remaining, own, threshold, keep), own)
     elif t >= SPLIT_FROM:
         found = _by_parts(packed, remaining, t, keep)
+    elif t > 0:
+        found = sketch_scores(packed, remaining, t)
     else:
         return near_miss_edges(remaining, bag, threshold, keep)
     return found.where((F.col("score") >= t) & (F.col("score") < 1.0)).select("left_id", "left_size", "right_id", "right_size", "score")
@@ -101,10 +105,9 @@ def all_pairs(bag: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df
 
 def _by_parts(packed: DataFrame, remaining: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     ids = lambda c: remaining.select(F.col("form_id").alias(c))
-    both = lambda pairs: keep(pairs.select(F.explode(F.array("left_id", "right_id")).alias("form_id")).distinct())
     pairs = keep(keep(packed_candidates(packed.where("kind is not null"), threshold)).join(ids("left_id"), "left_id", "left_semi").join(ids("right_id"), "right_id", "left_semi"))
-    bags = keep(bags_of(packed, both(pairs)))
-    return packed_scores(pairs, bags, keep)
+    both = keep(pairs.select(F.explode(F.array("left_id", "right_id")).alias("form_id")).distinct())
+    return packed_scores(pairs, keep(bags_of(packed, both)), keep)
 
 
 def with_ties(edges: DataFrame, remaining: DataFrame, bag: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df, counts: Callable[[DataFrame], DataFrame] | None = None, bags: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -145,6 +145,35 @@ def packed_texts(rows: DataFrame, id_column: str, text_column: str, kind: Column
     return rows.select(F.col(id_column).cast("bigint").alias("id"), kind.cast("string").alias("kind"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, PACKED)
 
 
+def packed_turns(rows: DataFrame, id_column: str, role_column: str, text_column: str, kind: Column) -> DataFrame:
+    """PACKED forms of texts in several rows: fingerprints are lower-case tokens with their row's role, a null one being a role too. Traces aren't told apart."""
+    own = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(role_column).cast("string").alias("role"), F.col(text_column).cast("string").alias("text")).where("id is not null and text is not null")
+    own = own.groupBy("id").agg(F.collect_list(F.struct("role", "text")).alias("turns")).select("id", kind.cast("string").alias("kind"), "turns")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roles: dict[str | None, int] = {None: 0}
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                turns = part.column(2).flatten()
+                said = turns.field("role").to_pylist()
+                for x in set(said) - roles.keys():
+                    roles[x] = int(digest(x.encode())[:16], 16) | 1
+                form = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy())
+                _, lower, of = tokens(turns.field("text"))
+                salt = np.array([roles[x] for x in said], np.uint64)[of]
+                fp, cnt, row = counted(np.where(salt > 0, mixed(lower + salt), lower), form[of])
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                some = np.flatnonzero(np.diff(cut))
+                bags = [fp[cut[k] : cut[k + 1]].tobytes() + cnt[cut[k] : cut[k + 1]].astype(np.uint32).tobytes() for k in some.tolist()]
+                if bags:
+                    size = np.add.reduceat(cnt, cut[some])
+                    at = pa.array(some)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(size, pa.int64()), pa.array([digest(x) for x in bags]), pa.array([""] * len(bags)), pa.array(bags, pa.binary())], names=[x.split(" ")[0] for x in PACKED.split(", ")])
+
+    return own.mapInArrow(run, PACKED)
+
+
 def packed_bags(bag: DataFrame, remaining: DataFrame) -> DataFrame:
     """PACKED forms of (form_id, fp, cnt); ``remaining`` has form_id and kind."""
     fp = F.col("fp") if dict(bag.dtypes)["fp"] == "bigint" else F.xxhash64("fp")

@@ -13,7 +13,7 @@ from .operators import bags, cluster, exact, near
 from .operators.components import connected_components
 from .plans.compare import compare, findings, numbered
 from .operators.normalize.tree import FNV_OFFSET, FNV_PRIME
-from .operators.packed import packed_texts
+from .operators.packed import packed_texts, packed_turns
 from .plans.report import findings_json, summary
 from .plans.session import materialized
 from .schema import PRODUCTION
@@ -284,7 +284,8 @@ def near_miss_edges_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {near_sql(CONV_BAG, 0.25)} SELECT left_id, right_id, score FROM edges")
 def near_miss_edges_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(edges_of(*conversations(spark, sf_dir), 0.25))
+    packed = materialized(packed_turns(table(spark, sf_dir, "conversations"), "conv_id", "role", "text", F.lit(PRODUCTION)))
+    return shown(edges_of(*conversations(spark, sf_dir), 0.25, packed))
 
 
 @query(

@@ -126,3 +126,27 @@ def test_ties_are_ranked_where_they_decide(spark):
     edges = spark.createDataFrame([(1, 4, 2, 4, 0.6), (1, 4, 3, 4, 0.6), (2, 4, 3, 4, 0.6)], "left_id bigint, left_size bigint, right_id bigint, right_size bigint, score double")
     got = {(r.left_id, r.right_id): r.tie_rank for r in near.with_ties(edges, rest, bag, materialized).collect()}
     assert got == {(1, 2): 0, (1, 3): 1, (2, 3): 0}  # of 1: a and d are in two forms, c in three, b in all
+
+
+@pytest.mark.parametrize("t", [0.1, 0.25, 0.4])
+def test_sketches_of_blocks_find_what_brute_force_finds(spark, monkeypatch, t):
+    from kinsieve.operators import sketch
+
+    monkeypatch.setattr(sketch, "BLOCK", 40)
+    rng = random.Random(int(100 * t))
+    rows, said = [], {}
+    for k, text in enumerate([*texts(rng, 60, 1500), "", None, "Word word; WORD", "word word other"]):
+        words = (text or "").replace(";", "").split()
+        cut = len(words) // 2
+        for turn, (role, part) in enumerate([("user", words[:cut]), (None if k % 7 == 0 else "bot", words[cut:])]):
+            rows.append((k, turn, role, " ".join(part) if text is not None else None))
+            said.setdefault(k, []).extend(f"{role}:{w}".lower() for w in part)
+    turns = spark.createDataFrame([*rows, (None, 0, "user", "word word other")], "id bigint, turn int, role string, text string").repartition(3)
+    whole = materialized(packed.packed_turns(turns, "id", "role", "text", F.lit(PRODUCTION)))
+    rest = materialized(exact.unclaimed(whole.drop("bag")))
+    ids = {r.form_id for r in rest.collect()}
+    want = brute({k: Counter(said[k]) for k in ids}, t)
+    got = near.near_miss_edges(rest, None, t, materialized, whole).collect()
+    assert {(r.left_id, r.right_id): r.score for r in got} == want and len(got) == len(want) and want
+    plan = near.near_miss_edges(rest, None, t, materialized, whole)._jdf.queryExecution().executedPlan().toString()
+    assert "left_id" not in "".join(x for x in plan.splitlines() if "Exchange" in x)  # pairs aren't shuffled
