@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import PRODUCTION
 from .bags import SLACK, bag_sizes, fingerprint_df, prefix_keys, unsigned_order
-from .dense import dense_scores, few_fingerprints
+from .dense import dense_counts, dense_scores, few_fingerprints
 from .packed import SPLIT_FROM, bags_of, packed_bags, packed_candidates, packed_scores
 from .sketch import sketch_scores
 
@@ -103,6 +103,16 @@ def all_pairs(bag: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df
     return found.select("left_id", "left_size", "right_id", "right_size", "score")
 
 
+def near_miss_counts(remaining: DataFrame, bag: DataFrame, threshold: float, floors: list[float], keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(score, pairs): how many of ``near_miss_edges`` lie between a floor (``threshold``, then those of ``floors`` above it, ascending) and the next; score is that floor."""
+    t = float(threshold)
+    own = keep(bag.join(remaining.select("form_id"), "form_id", "left_semi"))
+    if few_fingerprints(own):
+        return dense_counts(own, remaining, t, floors)
+    floor = F.greatest(F.lit(t), *(F.when(F.col("score") >= x, F.lit(x)) for x in floors if x > t))
+    return near_miss_edges(remaining, bag, threshold, keep).groupBy(floor.alias("score")).agg(F.count("*").alias("pairs"))
+
+
 def _by_parts(packed: DataFrame, remaining: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     ids = lambda c: remaining.select(F.col("form_id").alias(c))
     pairs = keep(keep(packed_candidates(packed.where("kind is not null"), threshold)).join(ids("left_id"), "left_id", "left_semi").join(ids("right_id"), "right_id", "left_semi"))

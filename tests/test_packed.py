@@ -150,3 +150,20 @@ def test_sketches_of_blocks_find_what_brute_force_finds(spark, monkeypatch, t):
     assert {(r.left_id, r.right_id): r.score for r in got} == want and len(got) == len(want) and want
     plan = near.near_miss_edges(rest, None, t, materialized, whole)._jdf.queryExecution().executedPlan().toString()
     assert "left_id" not in "".join(x for x in plan.splitlines() if "Exchange" in x)  # pairs aren't shuffled
+
+
+@pytest.mark.parametrize("t", [0.0, 0.5, 0.9])
+def test_pairs_are_counted_where_blocks_meet(spark, monkeypatch, t):
+    monkeypatch.setattr(dense, "BLOCK", 20)
+    rng = random.Random(11)
+    held = {k: Counter({x: n for x in "abcde" if (n := rng.randrange(9))}) or Counter("a") for k in range(70)}
+    bag = spark.createDataFrame([(k, x, n) for k, c in held.items() for x, n in c.items()], "form_id bigint, fp string, cnt bigint")
+    rest = bags.bag_sizes(bag).withColumn("kind", F.lit(PRODUCTION))
+    size = {k: sum(c.values()) for k, c in held.items()}
+    scores = [s for x in held for y in held if (size[x], x) < (size[y], y) and held[x] & held[y] and t <= (s := jaccard(held[x], held[y])) < 1]
+    want = Counter(max(x for x in (t, 0.85, 0.95) if x <= s and x >= t) for s in scores)
+    counted = near.near_miss_counts(rest, bag, t, [0.85, 0.95], materialized)
+    assert {r.score: r.pairs for r in counted.collect()} == want
+    monkeypatch.setattr(near, "few_fingerprints", lambda bag: False)
+    if t >= 0.5:
+        assert {r.score: r.pairs for r in near.near_miss_counts(rest, bag, t, [0.85, 0.95], materialized).collect()} == want
